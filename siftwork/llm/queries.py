@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import split
+from siftwork.llm import sentences, split
 from siftwork.util import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,17 @@ def p4_found(spark, d):
 def p4_pieces(spark, d):
     r = spread(table(spark, d, "extraction_results").select("result_id", "file_format", "text", "chunks"))
     return split.split_items(r, table(spark, d, "split_limits")).select("item_kind", "result_id", "chunk_no", F.posexplode("pieces").alias("piece_no", "piece"))
+
+
+def documents(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    return sentences.split_sentences(documents(spark, d)).select("doc_id", "start_pos", "end_pos")
+
+
+@query("p9_sentences")
+def p9_sentences(spark, d):
+    return sentences.split_sentences(documents(spark, d))
