@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import sentences, split
+from siftwork.llm import leakage, sentences, split
 from siftwork.util import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,14 @@ def p9_found(spark, d):
 @query("p9_sentences")
 def p9_sentences(spark, d):
     return sentences.split_sentences(documents(spark, d))
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    return leakage.leaks(documents(spark, d), table(spark, d, "eval_items"))
+
+
+@query("p7_items")
+def p7_items(spark, d):
+    """Which items leaked, and into how many documents."""
+    return leakage.leaks(documents(spark, d), table(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents"))
