@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import leakage, sentences, split
+from siftwork.llm import encoding, leakage, sentences, split
 from siftwork.util import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,27 @@ def p7_found(spark, d):
 def p7_items(spark, d):
     """Which items leaked, and into how many documents."""
     return leakage.leaks(documents(spark, d), table(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def results(spark, d, *columns):
+    return spread(table(spark, d, "extraction_results").select("result_id", *columns))
+
+
+def garbled(spark, d):
+    """(table_name, row_id, restored) of both tables; the mappings are learned from the extracted texts."""
+    texts = results(spark, d, "text")
+    fitted = encoding.fit(texts)
+    people = table(spark, d, "person_rows").select("row_id", F.col("фио").alias("text"))
+    a = encoding.affected(texts, "result_id", "text", fitted).select(F.lit("extraction_results").alias("table_name"), F.col("result_id").alias("row_id"), "restored")
+    b = encoding.affected(people, "row_id", "text", fitted).select(F.lit("person_rows").alias("table_name"), "row_id", "restored")
+    return a.unionByName(b)
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    return garbled(spark, d).select("table_name", "row_id")
+
+
+@query("p6_restored")
+def p6_restored(spark, d):
+    return garbled(spark, d)
