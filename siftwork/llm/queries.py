@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import encoding, leakage, sentences, split
+from siftwork.llm import encoding, leakage, sentences, split, uniform
 from siftwork.util import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,25 @@ def p6_found(spark, d):
 @query("p6_restored")
 def p6_restored(spark, d):
     return garbled(spark, d)
+
+
+def uniform_rows(spark, d):
+    """(field, row_id, uniform) of texts and finding values with look-alikes; rows of a wrong encoding belong to p6."""
+    texts = results(spark, d, "text")
+    fitted = encoding.fit(texts)
+    garbled_too = uniform.unify(texts, "result_id", "text")
+    wrong = encoding.affected(texts.filter(uniform.triggered(F.col("text"))), "result_id", "text", fitted).select("result_id")
+    a = garbled_too.join(wrong, "result_id", "left_anti").select(F.lit("text").alias("field"), F.col("result_id").alias("row_id"), "uniform")
+    values = spread(table(spark, d, "pii_findings").select("finding_id", "value"))
+    b = uniform.unify(values, "finding_id", "value", lowered=True).select(F.lit("value").alias("field"), F.col("finding_id").alias("row_id"), "uniform")
+    return a.unionByName(b)
+
+
+@query("p2_found")
+def p2_found(spark, d):
+    return uniform_rows(spark, d).select("field", "row_id")
+
+
+@query("p2_uniform")
+def p2_uniform(spark, d):
+    return uniform_rows(spark, d)
