@@ -96,9 +96,12 @@ def uniform_rows(spark, d):
     """(field, row_id, uniform) of texts and finding values with look-alikes; rows of a wrong encoding belong to p6."""
     texts = results(spark, d, "text")
     fitted = encoding.fit(texts)
-    garbled_too = uniform.unify(texts, "result_id", "text")
-    wrong = encoding.affected(texts.filter(uniform.triggered(F.col("text"))), "result_id", "text", fitted).select("result_id")
-    a = garbled_too.join(wrong, "result_id", "left_anti").select(F.lit("text").alias("field"), F.col("result_id").alias("row_id"), "uniform")
+
+    def unless():
+        r = encoding.Restorer(*fitted)
+        return lambda t: r.restore(t)[1]
+
+    a = uniform.unify(texts, "result_id", "text", unless=unless).select(F.lit("text").alias("field"), F.col("result_id").alias("row_id"), "uniform")
     values = spread(table(spark, d, "pii_findings").select("finding_id", "value"))
     b = uniform.unify(values, "finding_id", "value", lowered=True).select(F.lit("value").alias("field"), F.col("finding_id").alias("row_id"), "uniform")
     return a.unionByName(b)

@@ -16,10 +16,12 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
 
-from siftwork.util import map_rows
+from pyspark.sql import DataFrame
+
+from siftwork.llm import chars
+from siftwork.util import map_batches
 
 INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤︎️﻿"
 SPACES = "               　"
@@ -93,12 +95,24 @@ _cyr = re.compile("[Ѐ-ԯ]")
 _lat = re.compile("[A-Za-zÀ-ɏ]")
 _grk = re.compile("[Ͱ-Ͽ]")
 
-#: What the JVM looks for before a text goes to Python: a superset of all inputs.
-TRIGGER = (
-    f"[{INVISIBLE}{SPACES}！-～ﬀ-ﬆ‐‑̀-ͯͰ-ϿЅІЈѕіј]"
-    "|[A-Za-zÀ-ɏ][Ѐ-ԯ]|[Ѐ-ԯ][A-Za-zÀ-ɏ]"
-    "|[Ѐ-ԯ][,;]? [acoyBKCOYAKE]+ [Ѐ-ԯ]"
+_INPUT, _L, _C, _G, _ONE = 1, 2, 4, 8, 16
+_flags = chars.table(
+    (_INPUT, [*INVISIBLE, *SPACES, *"‐‑", (0xFF01, 0xFF5E), (0xFB00, 0xFB06), (0x300, 0x36F), (0x370, 0x3FF), *"ЅІЈѕіј"]),
+    (_L, [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)]), (_C, [(0x400, 0x52F)]), (_ONE, "acoyBKCOYA"),
 )
+
+
+def triggered(texts: list[str]) -> np.ndarray:
+    """Which texts may have an input: an odd character, scripts side by side, or a single Latin letter."""
+    c, starts = chars.joined(texts)
+    f = _flags[c]
+    m = (f & _INPUT) > 0
+    lat, cyr = (f & _L) > 0, (f & _C) > 0
+    m[:-1] |= lat[:-1] & cyr[1:] | cyr[:-1] & lat[1:]
+    m[1:-2] |= ((f[1:-2] & _ONE) > 0) & (c[:-3] == 32) & (c[2:-1] == 32) & cyr[3:] if len(c) > 4 else False
+    return chars.texts_with(m, starts)
+
+
 _alone = re.compile("(?<=[Ѐ-ԯ] )[acoyBKCOYA](?= [а-яё])|(?<=[Ѐ-ԯ][,;] )[acoyBKCOYA](?= [а-яё])")
 
 
@@ -158,20 +172,21 @@ class Uniform:
         return s if self.lowered else _alone.sub(lambda m: TO_CYRILLIC[m[0]], s)
 
 
-def triggered(c: Column) -> Column:
-    return c.rlike(TRIGGER)
-
+def unify(rows: DataFrame, key: str, text: str, lowered: bool = False, unless=None) -> DataFrame:
+    """(key, uniform) of the rows whose text has a character that looks like another.
 
-def unify(rows: DataFrame, key: str, text: str, lowered: bool = False) -> DataFrame:
-    """(key, uniform) of the rows whose text has a character that looks like another."""
+    unless() is called once in each worker and gives a function that says of a changed text whether it is to be left out.
+    """
 
     def make():
         u = Uniform(lowered)
+        skip = unless() if unless else None
 
-        def f(i, t):
-            s = u(t)
-            return [(i, s)] if s != t else []
+        def f(ids, texts):
+            hit = triggered([t or "" for t in texts])
+            found = [(i, s) for i, t, x in zip(ids, texts, hit) if x for s in [u(t)] if s != t and not (skip and skip(t))]
+            return [[x[0] for x in found], [x[1] for x in found]]
 
         return f
 
-    return map_rows(rows.filter(triggered(F.col(text))).select(key, text), make, f"{key} {dict(rows.dtypes)[key]}, uniform string")
+    return map_batches(rows.select(key, text), make, f"{key} {dict(rows.dtypes)[key]}, uniform string")
