@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import encoding, leakage, sentences, split, uniform
+from siftwork.llm import encoding, leakage, scans, sentences, split, uniform
 from siftwork.util import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,17 @@ def p2_found(spark, d):
 @query("p2_uniform")
 def p2_uniform(spark, d):
     return uniform_rows(spark, d)
+
+
+def scanned(spark, d):
+    return scans.repair(results(spark, d, "file_format", "text", "chunks", "metadata"))
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    return scanned(spark, d).select("result_id", F.explode("found").alias("f")).select("result_id", "f.line_no", "f.kind")
+
+
+@query("p3_paragraphs")
+def p3_paragraphs(spark, d):
+    return scanned(spark, d).select("result_id", F.posexplode("paragraphs").alias("paragraph_no", "paragraph"))
