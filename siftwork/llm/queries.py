@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import encoding, leakage, scans, sentences, split, uniform
+from siftwork.llm import encoding, leakage, mixing, scans, sentences, split, uniform
 from siftwork.util import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,22 @@ def p3_found(spark, d):
 @query("p3_paragraphs")
 def p3_paragraphs(spark, d):
     return scanned(spark, d).select("result_id", F.posexplode("paragraphs").alias("paragraph_no", "paragraph"))
+
+
+def mix_inputs(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets")
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    return mixing.unreachable(*mix_inputs(spark, d))
+
+
+@query("p8_shares")
+def p8_shares(spark, d):
+    return mixing.mixture(*mix_inputs(spark, d))[1]
+
+
+@query("p8_mixture")
+def p8_mixture(spark, d):
+    return mixing.mixture(*mix_inputs(spark, d))[0]
