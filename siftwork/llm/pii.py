@@ -95,9 +95,10 @@ class Tagger:
         """Spans of all windows: whole words, checked, without overlaps."""
         spans = []
         for a, b, k in found:
-            s = checked(text, a, b, KINDS[k])
-            if s:
-                spans.append((*s, KINDS[k]))
+            for x, y, kind in parted(text, a, b, KINDS[k]):
+                s = checked(text, x, y, kind)
+                if s:
+                    spans.append((*s, kind))
         spans.sort(key=lambda s: (s[0], -s[1]))
         out: list[tuple[int, int, str]] = []
         for s in spans:
@@ -112,6 +113,31 @@ class Tagger:
         return out
 
 
+def parted(t: str, a: int, b: int, kind: str) -> list[tuple[int, int, str]]:
+    """A span cut where one of its kind can't go on: a sentence's end in a name, a person before a Latin address."""
+    s = t[a:b]
+    if kind == "name":
+        m = _stop.search(s)
+        if m:
+            rest = parted(t, a + m.end(), b, kind)
+            return [(a, a + m.start(1), kind)] + [r for r in rest if _two.search(t[r[0] : r[1]])]
+        m = re.match(r"(?:[^\W\d_A-ZА-ЯЁÄÖÜ]\w*[\s,:.]+)+(?=[A-ZА-ЯЁÄÖÜ])", s)
+        if m:
+            return [(a + m.end(), b, kind)]
+    if kind == "address":
+        m = _person.match(s)
+        if m:
+            return [(a, a + m.end(1), "name"), (a + m.end(), b, kind)]
+    return [(a, b, kind)]
+
+
+_stop = re.compile(r"\w[^\W\d_](\.)\s+(?=[^\W\d_a-zа-яё])")
+_two = re.compile(r"\w[.\s]+\w")
+#: Latin words without figures before a part with a house number.
+_person = re.compile(r"((?:[A-ZÄÖÜ](?:[a-zß-ÿ]+|[A-ZÄÖÜ]+|\.)(?:-[A-ZÄÖÜ][a-zß-ÿ]+)?[ \n]*(?:,[ \n]*(?=[A-ZÄÖÜ][a-zß-ÿ]+,))?)+),\s*(?=(?:Flat |Apt\.? |\d|[A-ZÄÖÜ][\w.-]+(?:\s[A-ZÄÖÜ]\w+)?\.?\s\d))")
+_street_end = re.compile(r"(?:St|Ave|Rd|Ln|Dr|Blvd|Str|str|Sq|Pl|Ct)$")
+
+
 def checked(t: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The span's exact ends, or None if it can't be of its kind."""
     while a > 0 and _word.match(t[a - 1]) and _word.match(t[a]):
@@ -143,8 +169,13 @@ def checked(t: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         ok = digits >= 5 and letters <= 6
     elif kind == "address":
         ok = letters >= 3 and len(s) >= 6
+        if ok and t[b : b + 1] == "." and _street_end.search(s):
+            b += 1
     else:
-        ok = letters >= 3 and digits <= 2
+        while digits and t[b - 1 : b].isdigit() or t[b - 1] in " +\n":
+            b -= 1
+        digits = sum(c.isdigit() for c in t[a:b])
+        ok = letters >= 3 and digits <= 1
         # a full stop after an initial belongs to the name
         if ok and b < len(t) and t[b] == "." and re.search(r"(?:^|[\s.])[^\W\d_]$", t[a:b]):
             b += 1

@@ -1,6 +1,6 @@
 """Trains the tagger of personal information from labelled spans.
 
-    python -m siftwork.llm.pii_train DATA_DIR OUT.npz [STEPS]
+    python -m siftwork.llm.pii_train DATA_DIR OUT.npz [STEPS [HIDDEN [FIRST.npz]]]
 
 Labelled spans are the findings of a results table: a finding's value is placed in its context snippet, the snippet in the text, and every other
 occurrence of the same characters in that text gets the same label. At most TRAIN_TEXTS texts are read (the bound of the sample).
@@ -16,7 +16,7 @@ import numpy as np
 from siftwork.llm import lstm
 
 TRAIN_TEXTS = 6_000
-LENGTH, BATCH = 160, 192
+LENGTH, BATCH = 224, 128
 PATTERN_KINDS = {
     "phone": "phone", "email": "email", "full_name": "name", "full_name_context": "name", "initials_name": "name", "address": "address",
     "snils": "id_number", "inn": "id_number", "passport_rf": "id_number",
@@ -110,9 +110,22 @@ def arrays(rows) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(data: list[tuple[np.ndarray, np.ndarray]], hidden: int = 24, steps: int = 1200, seed: int = 0, rate: float = 0.01, note=print) -> dict[str, np.ndarray]:
+def completed(rows, path: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The same rows with what a first model finds beside the labels: the findings miss some cases."""
+    from siftwork.llm.pii import Tagger
+
+    tagger, out = Tagger(path), []
+    for k in range(0, len(rows), 500):
+        part = rows[k : k + 500]
+        for (t, spans), more in zip(part, tagger.spans([t for t, _ in part])):
+            new = [(a, b, lstm.KINDS.index(kind)) for a, b, kind in more if not any(a < y and x < b for x, y, _ in spans)]
+            out.append((t, sorted(spans + new)))
+    return out
+
+
+def train(data: list[tuple[np.ndarray, np.ndarray]], hidden: int = 24, steps: int = 1200, seed: int = 0, rate: float = 0.01, note=print, start: dict | None = None) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    p = lstm.fresh(hidden, seed)
+    p = {k: v.astype(np.float32).copy() for k, v in start.items()} if start else lstm.fresh(hidden, seed)
     adam = lstm.Adam(p)
     weight = np.array([len(x) for x, _ in data], float) ** 0.7
     weight /= weight.sum()
@@ -136,16 +149,22 @@ def train(data: list[tuple[np.ndarray, np.ndarray]], hidden: int = 24, steps: in
     return p
 
 
-def main(data_dir: str, out: str, steps: int = 1200, hidden: int = 24) -> None:
+def main(data_dir: str, out: str, steps: int = 1200, hidden: int = 24, first: str | None = None) -> None:
     import pyarrow.parquet as pq
 
     t = pq.read_table(f"{data_dir}/extraction_results.parquet", columns=["result_id", "text"]).slice(0, TRAIN_TEXTS)
     texts = {i: x for i, x in zip(t["result_id"].to_pylist(), t["text"].to_pylist()) if x and x.strip()}
     f = pq.read_table(f"{data_dir}/pii_findings.parquet", columns=["result_id", "pattern_name", "value", "context_snippet"])
     findings = list(zip(*(f[c].to_pylist() for c in f.column_names)))
-    p = train(arrays(labelled(texts, findings) + bare_values(findings)), hidden, steps)
+    rows = labelled(texts, findings)
+    start = None
+    if first:  # go on from a first model, with its finds among the labels
+        rows = completed(rows, first)
+        with np.load(first) as z:
+            start = {k: z[k] for k in z.files}
+    p = train(arrays(rows + bare_values(findings)), hidden, steps, rate=0.004 if first else 0.01, seed=1 if first else 0, start=start)
     np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in p.items()})
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], sys.argv[2], *map(int, sys.argv[3:5]))
+    main(sys.argv[1], sys.argv[2], *map(int, sys.argv[3:5]), *sys.argv[5:6])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import encoding, leakage, mixing, scans, sentences, split, uniform
+from siftwork.llm import encoding, leakage, mixing, pii, scans, sentences, split, uniform
 from siftwork.util import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,19 @@ def p8_shares(spark, d):
 @query("p8_mixture")
 def p8_mixture(spark, d):
     return mixing.mixture(*mix_inputs(spark, d))[0]
+
+
+def personal(spark, d):
+    f = table(spark, d, "pii_findings").select("finding_id", "result_id", "pattern_name", "value", "context_snippet")
+    return pii.findings_in(results(spark, d, "text"), spread(f))
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return pii.occurrences(personal(spark, d))
+
+
+@query("p1_replaced")
+def p1_replaced(spark, d):
+    """Fields with typed placeholders, where anything was replaced."""
+    return personal(spark, d).select("field", "row_id", "replaced")
