@@ -64,7 +64,7 @@ def result_csv(results: DataFrame, listing: DataFrame) -> DataFrame:
     """size, time, name of the files with findings that a fresh listing still has."""
     fresh = listing.groupBy("path").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime"))
     found = results.filter("total_findings > 0").select("path").distinct()
-    return fresh.join(found, "path", "left_semi").select("size", X.listing_time(F.col("mtime")).alias("time"), X.file_name(F.col("path")).alias("name"))
+    return fresh.join(found, "path", "left_semi").select(F.coalesce("size", F.lit(0)).alias("size"), X.listing_time(F.col("mtime")).alias("time"), X.file_name(F.col("path")).alias("name"))
 
 
 def filtered(results: DataFrame, level: str | None = None, file_format: str | None = None, pii: str | None = None, name: str | None = None) -> DataFrame:

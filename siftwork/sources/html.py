@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Elements whose content isn't text (fixed values).
 DROPPED = frozenset("script style noscript meta link head svg canvas iframe".split())
@@ -61,7 +62,10 @@ def parse(page: str | None) -> dict | None:
     return {"title": title, "description": r.description, "visible": visible, "alts": r.alts, "text": "\n\n".join(p for p in parts if p)}
 
 
-@F.pandas_udf("title string, description string, visible string, alts array<string>, text string")
+_TYPE = T.StructType([T.StructField(n, T.ArrayType(T.StringType()) if n == "alts" else T.StringType()) for n in ("title", "description", "visible", "alts", "text")])
+
+
+@F.pandas_udf(_TYPE)
 def extract(pages: pd.Series) -> pd.DataFrame:
     """Title, description, visible text, image texts, and all of them joined by blank lines."""
     none = dict.fromkeys(("title", "description", "visible", "alts", "text"))

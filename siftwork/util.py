@@ -92,13 +92,18 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", salt
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder of spark.checkpoint.dir; a local folder is set only where none is configured."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "siftwork-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that all executors see; a local one only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "siftwork")
+    return f"{base.rstrip('/')}/{name}"
+
+
 def digits(c: Column) -> Column:
     """Only the ASCII digits."""
     return F.regexp_replace(c, "[^0-9]", "")
