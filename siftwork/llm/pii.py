@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from siftwork.llm.pii_train import PATTERN_KINDS, place_value
 from siftwork.util import map_batches
 
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
-WINDOW, OVERLAP = 256, 48
+WINDOW, OVERLAP = 512, 64
 LANES = 1024
 BLOCK = 2_000
 
@@ -193,16 +194,28 @@ def placeholder(text: str | None, spans: list[tuple[int, int, str]]) -> str | No
     return "".join(out) + text[at:]
 
 
-def visible(spans: list[tuple[int, int, str]], low: int, high: int) -> list[tuple[int, int, str]]:
-    """Spans within text[low:high], at their places there; one that the cut leaves less than half of is out."""
+def visible(spans: list[tuple[int, int, str]], starts: list[int], low: int, high: int) -> list[tuple[int, int, str, int]]:
+    """Spans within text[low:high], at their places there, with their number; one that the cut leaves less than half of is out.
+
+    starts: the spans' starts in order, for the search.
+    """
     out = []
-    for a, b, k in spans:
+    for k in range(max(0, bisect_left(starts, low) - 1), bisect_left(starts, high)):
+        a, b, kind = spans[k]
         x, y = max(a, low), min(b, high)
         if y > x and 2 * (y - x) >= b - a:
-            out.append((x - low, y - low, k))
+            out.append((x - low, y - low, kind, k))
     return out
 
 
+_squeeze = re.compile(r"[\s\-]+")
+
+
+def squeezed_value(s: str) -> str:
+    """As findings write their values."""
+    return _squeeze.sub("", s).lower()
+
+
 SCHEMA = "field string, row_id bigint, spans array<struct<start_pos:int,end_pos:int,kind:string>>, replaced string"
 
 
@@ -232,14 +245,18 @@ def findings_in(results: DataFrame, findings: DataFrame, path: str = MODEL) -> D
                 if t and not block and spans:
                     out.append(("text", i, spans, t))
                 flat = (t or "").replace("\n", " ")
+                starts = [a for a, _, _ in spans]
+                names = [squeezed_value(t[a:b]) for a, b, _ in spans] if fi else []
                 for fid, pattern, value, snippet in zip(fi or (), pa or (), va or (), sn or ()):
-                    inside = None
+                    inside = same = None
                     if snippet:
                         left = snippet.startswith("…")
                         core = snippet[left : len(snippet) - snippet.endswith("…")]
                         k = flat.find(core) if core else -1
                         if k >= 0:
-                            inside = [(a + left, b + left, kind) for a, b, kind in visible(spans, k, k + len(core))]
+                            seen = visible(spans, starts, k, k + len(core))
+                            inside = [(a + left, b + left, kind) for a, b, kind, _ in seen]
+                            same = {kind for _, _, kind, n in seen if names[n] == value}
                     if inside is None and snippet:
                         waiting.append((fid, pattern, value, snippet))
                         alone.append(snippet)
@@ -247,9 +264,9 @@ def findings_in(results: DataFrame, findings: DataFrame, path: str = MODEL) -> D
                         waiting.append((fid, pattern, value, None))
                         alone.append(f"\n{value or ''}\n")
                     else:
-                        self_found(out, fid, pattern, value, snippet, inside)
+                        add_found(out, fid, pattern, value, snippet, inside, same)
             for (fid, pattern, value, snippet), spans in zip(waiting, tagger.spans(alone) if alone else ()):
-                self_found(out, fid, pattern, value, snippet, spans)
+                add_found(out, fid, pattern, value, snippet, spans)
 
         def f(*columns):
             out: list[tuple] = []
@@ -273,14 +290,19 @@ def findings_in(results: DataFrame, findings: DataFrame, path: str = MODEL) -> D
     return map_batches(rows, make, SCHEMA)
 
 
-def self_found(out: list, fid: int, pattern: str | None, value: str | None, snippet: str | None, spans: list[tuple[int, int, str]]) -> None:
-    """Adds the cases of a finding's snippet and value. The model's kind of the value must agree with the finding's own."""
+def add_found(out: list, fid: int, pattern: str | None, value: str | None, snippet: str | None, spans: list[tuple[int, int, str]], same: set[str] | None = None) -> None:
+    """Adds the cases of a finding's snippet and value. The model's kind of the value must agree with the finding's own.
+
+    same: kinds of the spans that read as the value, if any do.
+    """
     if snippet and spans:
         out.append(("context_snippet", fid, spans, snippet))
     if not value:
         return
     kind = PATTERN_KINDS.get(pattern or "")
-    if snippet:
+    if same:
+        got = same
+    elif snippet:
         at = place_value(snippet, value)
         got = {k for a, b, k in spans if at and a < at[1] and at[0] < b}
     else:
