@@ -1,7 +1,7 @@
 """Detection: texts to matches, matches to findings, findings to one result per file.
 
 All detectors run in one projection, so a text is read once; each gives an array of (start, raw) and the arrays are exploded together.
-A detector is skipped where its gate (an at sign, a figure) is missing. One shuffle on the key brings a file's matches together; counts
+A detector is skipped where none of its stems, or not its gate, is in the text. One shuffle on the key brings a file's matches together; counts
 are added up before it.
 """
 
@@ -21,28 +21,31 @@ MATCH = "array<struct<pattern_no:int,start:int,raw:string>>"
 
 def located(text: Column, pattern: str, number: int) -> Column:
     """array<struct<pattern_no, start, raw>> of a pattern's matches; starts follow from the lengths of gaps and matches before."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pattern_no:int,start:int,raw:string>>").alias("out"))
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("raw"))
+    # one pass of the pattern marks the matches with noncharacters, which texts don't hold; gaps and matches then alternate
+    marked = F.split(F.regexp_replace(text, pattern, "\ufdd0$0\ufdd0"), "\ufdd0", -1)
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(MATCH).alias("out"))
     walked = F.aggregate(
-        steps,
+        marked,
         begin,
         lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["raw"]), F.lit(0))).alias("at"),
-            F.when(x["raw"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(F.lit(number).alias("pattern_no"), (s["at"] + F.length(x["gap"])).alias("start"), x["raw"].alias("raw"))))).alias("out"),
+            (s["at"] + F.length(x)).alias("at"),
+            (~s["match"]).alias("match"),
+            F.when(s["match"], F.concat(s["out"], F.array(F.struct(F.lit(number).alias("pattern_no"), s["at"].alias("start"), x.alias("raw"))))).otherwise(s["out"]).alias("out"),
         ),
     )
     return walked["out"]
 
 
-def gated(text: Column, d: Detector) -> Column:
-    none = F.array().cast(MATCH)
-    if not d.gate:
-        test = text.rlike(d.pattern)
-    else:
-        test = (text.contains("@") if d.gate == "@" else text.rlike(d.gate)) & text.rlike(d.pattern)
-    return F.when(test, located(text, d.pattern, d.number)).otherwise(none)
+def gated(text: Column, folded: Column, d: Detector) -> Column:
+    """A detector's matches, where one of its stems stands in the folded text or its gate matches."""
+    tests = [folded.contains(x) for x in d.stems] + ([text.rlike(d.gate)] if d.gate else [])
+    found = located(text, d.pattern, d.number)
+    return F.when(reduce(lambda a, b: a | b, tests), found).otherwise(F.array().cast(MATCH)) if tests else found
+
+
+def fold(text: Column) -> Column:
+    """Lower case, with the letters that case folding takes for i, s and k."""
+    return F.lower(F.translate(text, "İıſK", "iisk"))
 
 
 def matches(docs: DataFrame, text: str = "text", detectors: list[str] | None = None, clean: bool = False, min_text_length: int = 10) -> DataFrame:
@@ -54,7 +57,8 @@ def matches(docs: DataFrame, text: str = "text", detectors: list[str] | None = N
     keep = [c for c in docs.columns if c != text]
     t = docs.withColumn(text, X.clean_text(F.col(text)) if clean else F.col(text)).filter(F.length(text) >= min_text_length)
     c = F.col(text)
-    all_of = t.select(*keep, text, F.concat(*[gated(c, d) for d in chosen]).alias("_m")).filter(F.size("_m") > 0)
+    t = t.select(*keep, text, fold(c).alias("_f"))
+    all_of = t.select(*keep, text, F.concat(*[gated(c, F.col("_f"), d) for d in chosen]).alias("_m")).filter(F.size("_m") > 0)
     withcontext = F.transform("_m", lambda m: F.struct(m["pattern_no"].alias("pattern_no"), m["start"].alias("start"), X.stripped(m["raw"]).alias("raw"), X.snippet(c, m["start"], F.length(m["raw"])).alias("context")))
     m = all_of.select(*keep, F.explode(withcontext).alias("_x")).select(*keep, "_x.*")
     name = F.create_map(*[F.lit(v) for d in chosen for v in (d.number, d.name)])[F.col("pattern_no")]
