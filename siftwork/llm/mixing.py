@@ -138,6 +138,8 @@ def fit_rates(members: DataFrame, mixes: list[Mix], total: int) -> list[Mix]:
     The gradient of a rate is its memberships times the domains' misses, so a step moves one weight per domain. It is scaled by the
     curvature among domains, damped by RIDGE of all tokens; what comes back from a pass is that small matrix.
     """
+    if not mixes:
+        return mixes
     ridge = RIDGE * max(total, 1)
     for _ in range(STEPS):
 

@@ -122,6 +122,11 @@ class Parser:
                 self.newline()
             except SyntaxFault as e:
                 self.p = self.anchor(start)
+                if e.pos >= self.p:  # the quote ran on over records behind it: the fault lies in this record alone
+                    try:
+                        Parser(self.s[start : self.p].rstrip("\r\n"), self.sep).record()
+                    except SyntaxFault as own:
+                        e = SyntaxFault(start + own.pos, own.what)
                 out.append(Record(start, self.p, [], "quoting", e.pos, e.what))
         return out
 

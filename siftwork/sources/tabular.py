@@ -68,6 +68,8 @@ def read_csv(spark: SparkSession, path: str, cap: int | None = None) -> tuple[Da
     """(all-string rows, metadata). Rows with too many fields are left out, those with too few filled up with nulls."""
     s = sniff(path)
     java = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1251": "windows-1251", "latin-1": "ISO-8859-1"}[s["encoding"]]
+    if java.startswith("windows"):  # Spark 4 reads other character sets only when told to
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     options = dict(sep=s["sep"], encoding=java, header=True, quote='"', escape='"', multiLine=True)
     names = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_bad"]])
