@@ -118,6 +118,9 @@ def parted(t: str, a: int, b: int, kind: str) -> list[tuple[int, int, str]]:
     """A span cut where one of its kind can't go on: a sentence's end in a name, a person before a Latin address."""
     s = t[a:b]
     if kind == "name":
+        m = _role.match(s)
+        if m:
+            return parted(t, a + m.end(), b, kind)
         m = _stop.search(s)
         if m:
             rest = parted(t, a + m.end(), b, kind)
@@ -132,6 +135,8 @@ def parted(t: str, a: int, b: int, kind: str) -> list[tuple[int, int, str]]:
     return [(a, b, kind)]
 
 
+#: Roles and titles that aren't part of a name (fixed values).
+_role = re.compile(r"(?:клиент|заявитель|сотрудник|работник|получатель|плательщик|налогоплательщик|исполнитель|абонент|гражданин|гражданка|господин|госпожа|доктор|инспектор|mr|mrs|ms|miss|dr|prof|herr|frau)\w{0,2}\.?[\s:]+(?=\S)", re.I)
 _stop = re.compile(r"\w[^\W\d_](\.)\s+(?=[^\W\d_a-zа-яё])")
 _two = re.compile(r"\w[.\s]+\w")
 #: Latin words without figures before a part with a house number.

@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-def pattern(fresh: Column) -> Column:
-    """The extraction pattern for pieces that take at most `fresh` new characters each.
+def pattern(fresh: Column, over: Column) -> Column:
+    """The extraction pattern for pieces that take at most `fresh` new characters each, looking back on `over`.
 
-    In order: all that is left; a paragraph's end; a sentence's end at a line's end or elsewhere; a line's end; a clause's end; a word's end; characters. A boundary
-    before the middle of the limit isn't used while a later alternative finds one beyond it.
+    In order: all that is left; a paragraph's end; a sentence's end at a line's end or elsewhere; a line's end; a clause's end; a word's end;
+    characters. A boundary before the middle of the limit isn't used while a later alternative finds one beyond it. Group 1 or, near
+    the beginning, group 2 is the text looked back on.
     """
     low = F.greatest(F.lit(1), F.floor(fresh / 2).cast("int"))
     q = F.concat(F.lit("{"), low.cast("string"), F.lit(","), fresh.cast("string"), F.lit("}"))
@@ -33,7 +34,7 @@ def pattern(fresh: Column) -> Column:
         (q, "(?<=\\s)(?=\\S)"),
         (up, ""),
     ]
-    parts: list[Column] = [F.lit("(?s)\\G(?:")]
+    parts: list[Column] = [F.lit("(?s)\\G(?:(?<=(.{"), over.cast("string"), F.lit("}))|(?<=(\\A.{0,"), over.cast("string"), F.lit("})))(?:")]
     for k, (n, tail) in enumerate(alternatives):
         parts += [F.lit("|." if k else "."), n, F.lit(tail)]
     return F.concat(*parts, F.lit(")"))
@@ -42,19 +43,9 @@ def pattern(fresh: Column) -> Column:
 def pieces(item: Column, max_chars: Column, overlap_chars: Column) -> Column:
     """array<string>: pieces of at most max_chars, each beginning with the last overlap_chars of the one before."""
     over = F.least(F.greatest(F.coalesce(overlap_chars, F.lit(0)), F.lit(0)), F.floor(max_chars / 2).cast("int"))
-    cores = F.regexp_extract_all(item, pattern(max_chars - over), F.lit(0))
-    # the end of each core, then each piece from its core's start less the overlap
-    ends = F.aggregate(
-        cores,
-        F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, acc[F.size(acc) - 1]).otherwise(F.lit(0)) + F.length(x))),
-    )
-    cut = F.transform(
-        ends,
-        lambda e, i: F.when(i == 0, F.substring(item, F.lit(1), e)).otherwise(
-            F.substring(item, ends[i - 1] - over + F.lit(1), e - ends[i - 1] + over)
-        ),
-    )
+    p = pattern(max_chars - over, over)
+    core, back, first = (F.regexp_extract_all(item, p, F.lit(k)) for k in (0, 1, 2))
+    cut = F.zip_with(F.zip_with(first, back, lambda x, y: F.concat(x, y)), core, lambda x, y: F.concat(x, y))
     return F.when(item.isNull(), F.lit(None)).when(max_chars.isNull() | (max_chars < 1) | (F.length(item) <= max_chars), F.array(item)).otherwise(cut)
 
 

@@ -85,20 +85,20 @@ def compiled(m: dict[str, str]) -> str:
     return "|".join([f"{cls(cs)}{cls(t)}" for t, cs in by_tail.items()] + [cls(single)])
 
 
-_LETTER = "A-Za-zÀ-ɏͰ-ϿЀ-ԯ"
+_LETTER = "A-Za-zÀ-ɏḀ-ỿͰ-ϿЀ-ԯ"
 _HIDDEN = INVISIBLE.replace("­", "") + "̀-ͯ"
 #: A word with its marks and invisible characters, or else an input of the mapping.
 _unit = re.compile(f"­(?=[ \\t]*\\n)|[{_LETTER}Ａ-Ｚａ-ｚﬀ-ﬆ](?:[{_LETTER}Ａ-Ｚａ-ｚﬀ-ﬆ{_HIDDEN}]|­(?![ \\t]*\\n))*|{compiled(MAPPING)}")
 _map = re.compile(compiled(MAPPING))
-_parts = re.compile("[A-Za-zÀ-ɏ]+|[Ѐ-ԯ]+|[Ͱ-Ͽ]+")
+_parts = re.compile("[A-Za-zÀ-ɏḀ-ỿ]+|[Ѐ-ԯ]+|[Ͱ-Ͽ]+")
 _cyr = re.compile("[Ѐ-ԯ]")
-_lat = re.compile("[A-Za-zÀ-ɏ]")
+_lat = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 _grk = re.compile("[Ͱ-Ͽ]")
 
 _INPUT, _L, _C, _G, _ONE = 1, 2, 4, 8, 16
 _flags = chars.table(
     (_INPUT, [*INVISIBLE, *SPACES, *"‐‑", (0xFF01, 0xFF5E), (0xFB00, 0xFB06), (0x300, 0x36F), (0x370, 0x3FF), *"ЅІЈѕіј"]),
-    (_L, [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)]), (_C, [(0x400, 0x52F)]), (_ONE, "acoyBKCOYA"),
+    (_L, [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)]), (_C, [(0x400, 0x52F)]), (_ONE, "acoyBKCOYA"),
 )
 
 
