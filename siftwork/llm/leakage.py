@@ -152,7 +152,7 @@ def align(iw: list[str], dw: list[str], shift: int, band: int = 8) -> list[bool]
             if j < 1 or j > m:
                 continue
             same = x == dw[j - 1]
-            s, t = up[k] + (2 if same else -2), 1 if same else 2
+            s, t = up[k] + (2 if same else -1), 1 if same else 2
             if up[k + 1] - 2 > s:
                 s, t = up[k + 1] - 2, 3
             if row[k - 1] - 2 > s:
