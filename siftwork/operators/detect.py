@@ -1,6 +1,6 @@
 """Detection: texts to matches, matches to findings, findings to one result per file.
 
-All detectors run in one projection, so a text is read once; each gives an array of (start, raw) and the arrays are exploded together.
+All detectors run in one projection, so a text is read once; each cuts it at its matches and the cuts are exploded together.
 A detector is skipped where none of its stems, or not its gate, is in the text. One shuffle on the key brings a file's matches together; counts
 are added up before it.
 """
@@ -16,33 +16,33 @@ from siftwork.functions import text as X
 from siftwork.functions.validators import valid
 from siftwork.operators.registry import BY_NAME, DETECTORS, Detector
 
-MATCH = "array<struct<pattern_no:int,start:int,raw:string>>"
 
+#: A noncharacter, which texts don't hold, marks where matches begin and end.
+MARK = "\ufdd0"
 
-def located(text: Column, pattern: str, number: int) -> Column:
-    """array<struct<pattern_no, start, raw>> of a pattern's matches; starts follow from the lengths of gaps and matches before."""
-    # one pass of the pattern marks the matches with noncharacters, which texts don't hold; gaps and matches then alternate
-    marked = F.split(F.regexp_replace(text, pattern, "\ufdd0$0\ufdd0"), "\ufdd0", -1)
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(MATCH).alias("out"))
+
+def cut(text: Column, folded: Column, d: Detector) -> Column:
+    """The text cut at both ends of a detector's matches: gaps and matches alternate. Null where no stem is in the folded text or the gate fails."""
+    tests = [folded.contains(x) for x in d.stems] + ([text.rlike(d.gate)] if d.gate else [])
+    parts = F.split(F.regexp_replace(text, d.pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    return F.when(reduce(lambda a, b: a | b, tests), parts) if tests else parts
+
+
+def located(parts: Column) -> Column:
+    """array<struct<start, raw>> of the matches of a cut text."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
     walked = F.aggregate(
-        marked,
+        parts,
         begin,
         lambda s, x: F.struct(
             (s["at"] + F.length(x)).alias("at"),
             (~s["match"]).alias("match"),
-            F.when(s["match"], F.concat(s["out"], F.array(F.struct(F.lit(number).alias("pattern_no"), s["at"].alias("start"), x.alias("raw"))))).otherwise(s["out"]).alias("out"),
+            F.when(s["match"], F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), x.alias("raw"))))).otherwise(s["out"]).alias("out"),
         ),
     )
     return walked["out"]
 
 
-def gated(text: Column, folded: Column, d: Detector) -> Column:
-    """A detector's matches, where one of its stems stands in the folded text or its gate matches."""
-    tests = [folded.contains(x) for x in d.stems] + ([text.rlike(d.gate)] if d.gate else [])
-    found = located(text, d.pattern, d.number)
-    return F.when(reduce(lambda a, b: a | b, tests), found).otherwise(F.array().cast(MATCH)) if tests else found
-
-
 def fold(text: Column) -> Column:
     """Lower case, with the letters that case folding takes for i, s and k."""
     return F.lower(F.translate(text, "İıſK", "iisk"))
@@ -58,9 +58,11 @@ def matches(docs: DataFrame, text: str = "text", detectors: list[str] | None = N
     t = docs.withColumn(text, X.clean_text(F.col(text)) if clean else F.col(text)).filter(F.length(text) >= min_text_length)
     c = F.col(text)
     t = t.select(*keep, text, fold(c).alias("_f"))
-    all_of = t.select(*keep, text, F.concat(*[gated(c, F.col("_f"), d) for d in chosen]).alias("_m")).filter(F.size("_m") > 0)
-    withcontext = F.transform("_m", lambda m: F.struct(m["pattern_no"].alias("pattern_no"), m["start"].alias("start"), X.stripped(m["raw"]).alias("raw"), X.snippet(c, m["start"], F.length(m["raw"])).alias("context")))
-    m = all_of.select(*keep, F.explode(withcontext).alias("_x")).select(*keep, "_x.*")
+    cuts = t.select(*keep, text, F.posexplode(F.array(*[cut(c, F.col("_f"), d) for d in chosen])).alias("_d", "_p")).filter(F.size("_p") > 1)
+    m = cuts.select(*keep, text, "_d", F.explode(located(F.col("_p"))).alias("_x"))
+    number = F.array(*[F.lit(d.number) for d in chosen])[F.col("_d")]
+    context = X.snippet(c, F.col("_x.start"), F.length("_x.raw"))
+    m = m.select(*keep, number.alias("pattern_no"), F.col("_x.start").alias("start"), X.stripped(F.col("_x.raw")).alias("raw"), context.alias("context"))
     name = F.create_map(*[F.lit(v) for d in chosen for v in (d.number, d.name)])[F.col("pattern_no")]
     shortest = F.create_map(*[F.lit(v) for d in chosen for v in (d.number, d.min_length)])[F.col("pattern_no")]
     m = m.withColumn("pattern_name", name).filter((F.length("raw") > 0) & (F.length("raw") >= shortest))
@@ -109,13 +111,17 @@ def findings(docs: DataFrame, keys: list[str], text: str = "text", detectors: li
     chunk: a column that numbers the parts of one key's text; patterns don't span parts. Without deduplicate only equal values merge.
     """
     order = ([chunk] if chunk else []) + ["start"]
-    m = matches(docs.select(*keys, *([chunk] if chunk else []), text), text, detectors, clean, min_text_length)
-    probed = [d.name for d in DETECTORS if d.probe]
-    if deduplicate:
-        plain = merged(m.filter(~F.col("pattern_name").isin(probed)), keys, order).drop("first")
-        out = plain.unionByName(alias_merged(m.filter(F.col("pattern_name").isin(probed)), keys, order))
-    else:
-        out = merged(m, keys, order).drop("first")
+    docs = docs.select(*keys, *([chunk] if chunk else []), text)
+    chosen = [d for d in DETECTORS if not detectors or d.name in detectors]
+    # each branch runs its own detectors alone
+    probed = [d.name for d in chosen if d.probe] if deduplicate else []
+    plain = [d.name for d in chosen if d.name not in probed]
+    parts = []
+    if plain:
+        parts.append(merged(matches(docs, text, plain, clean, min_text_length), keys, order).drop("first"))
+    if probed:
+        parts.append(alias_merged(matches(docs, text, probed, clean, min_text_length), keys, order))
+    out = reduce(DataFrame.unionByName, parts)
     return described(out, keys)
 
 

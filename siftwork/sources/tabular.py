@@ -79,8 +79,8 @@ def read_csv(spark: SparkSession, path: str, cap: int | None = None) -> tuple[Da
     meta = {**s, "columns": names, "column_count": len(names), "truncated": False}
     if cap is not None:
         # the count must read a column: the reader refuses to give the broken records alone
-        rows = df.limit(cap + 1).agg(F.sum(F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) * 0 + 1)).first()[0]
-        meta["truncated"] = (rows or 0) >= cap
+        rows = df.limit(cap + 1).agg(F.count("*").alias("n"), F.max(F.col(f"`{names[0]}`"))).first().n
+        meta["truncated"] = rows >= cap
         df = df.limit(cap)
     return df, meta
 

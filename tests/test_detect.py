@@ -69,7 +69,7 @@ SAMPLES = [
 def test_samples(spark, name, text, want):
     docs = spark.createDataFrame([(text,)], "text string")
     d = registry.BY_NAME[name]
-    got = docs.select(detect.gated(F.col("text"), detect.fold(F.col("text")), d).alias("m")).first().m
+    got = docs.select(detect.located(detect.cut(F.col("text"), detect.fold(F.col("text")), d)).alias("m")).first().m
     assert [m.raw for m in got] == want
     assert [text[m.start : m.start + len(m.raw)] for m in got] == want
 
