@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.util import map_batches, map_rows
+from siftwork.util import map_batches
 
 SHARE = 1e-5
 #: Prior knowledge for tokens that a corpus may show too rarely.
@@ -29,7 +29,7 @@ CLOSE = "\"'»”’“)\\]）」』】〉》›"
 UPPER = "A-ZА-ЯЁÀ-ÖØ-Þ"
 LETTERS = "[^\\W\\d_]"
 
-_abbr = re.compile(rf"(?<![\w.@+\-])({LETTERS}{{1,6}}|\d+)\.(?:[ \n\xa0]{{1,2}}[«“„\"(]?(?={LETTERS})|(?=,))({LETTERS}+|,)")
+_abbr = re.compile(rf"(?<![\w.@+\-])({LETTERS}{{1,6}}|\d+)\.(?:[ \n\xa0]{{1,2}}[«“„\"(]?(?={LETTERS})|(?=,)|[ \xa0](?=[+№]|\d+(?![\d.)])))({LETTERS}+|[,\d+№])")
 _start = re.compile(rf"(?:\n\s*\n|^|[!?][»”\"“)]?[ \n]+|[a-zа-яёäöüß]{{4}}\.[ \n]+)[«“„\"(]?([{UPPER}]\w*)")
 _mid = re.compile(rf"[a-zа-яёäöüß0-9],?[ \n]([{UPPER}]\w*)")
 
@@ -42,6 +42,10 @@ _ends = re.compile(f"[.!?…。！？।॥؟]+[{CLOSE.replace('“', '')}]*|\\n
 _token = re.compile(r"(\S*)$")
 _list_mark = re.compile(r"[ \t]*(?:\d{1,3}[.)]|[-–—•*·]|[a-zа-я]\))\s")
 _next = re.compile(rf"\s*[«“„\"'(\[「『（]*({LETTERS}*)")
+_initial = re.compile(rf"[ \n\xa0]*{LETTERS}\.")
+#: Another short word with a stop and a figure: a chain of references.
+_chain = re.compile(rf"[ \n\xa0]*{LETTERS}{{1,5}}\. ?\d")
+_heading_rest = re.compile(r"[ \t]*[^\n.!?;:,]{1,40}(?:\n|\Z)")
 _hard = "!?。！？।॥؟"
 _caseless = re.compile("[\\u0600-\\u06ff\\u0900-\\u097f\\u0e00-\\u0e7f\\u3040-\\u30ff\\u3400-\\u9fff]")
 
@@ -55,7 +59,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
             for t in texts:
                 if not t:
                     continue
-                c.update([("a", x if len(x) > 1 and not x.isdigit() else "1" if x.isdigit() else x, y) for x, y in _abbr.findall(t)])
+                c.update([("a", x if len(x) > 1 and not x.isdigit() else "1" if x.isdigit() else x, y if y[0].isalpha() or y == "," else "0") for x, y in _abbr.findall(t)])
                 c.update([("s", x, "") for x in _start.findall(t)])
                 c.update([("m", x, "") for x in _mid.findall(t)])
             k = list(c)
@@ -78,15 +82,16 @@ def evidence(docs: DataFrame, text: str = "text") -> tuple[frozenset, frozenset]
         )
         starters = frozenset(r.a for r in words.select("a").collect())
         pairs = c.filter("kind = 'a'").join(F.broadcast(words.select(F.col("a").alias("b"), F.lit(1).alias("starter"))), "b", "left")
-        lower = (F.col("b") == ",") | (F.substring("b", 1, 1) == F.lower(F.substring("b", 1, 1)))
-        lower = lower & (F.substring("b", 1, 1) != F.upper(F.substring("b", 1, 1))) | (F.col("b") == ",")
+        lower = (F.col("b") == ",") | F.col("b").rlike("^\\p{Ll}(?!\\p{Lu})")
         by = pairs.groupBy("a").agg(
             F.sum("n").alias("n"),
             F.sum(F.when(lower, F.col("n")).otherwise(0)).alias("low"),
             F.sum(F.when(~lower & F.col("starter").isNull() & (F.upper(F.substring("b", 1, 1)) != F.lower(F.substring("b", 1, 1))), F.col("n")).otherwise(0)).alias("name"),
         )
-        abbr = by.filter((F.col("n") >= max(2, SHARE * total.get("a", 0))) & ((F.col("low") >= 0.05 * F.col("n")) | (F.col("name") >= 0.5 * F.col("n"))))
-        return starters, frozenset(r.a for r in abbr.select("a").collect())
+        by = by.join(c.filter("kind = 'a' and b = '0'").select("a", F.col("n").alias("figure")), "a", "left").fillna(0, ["figure"])
+        abbr = by.filter((F.col("n") >= max(2, SHARE * total.get("a", 0))) & ((F.col("low") >= 0.05 * F.col("n")) | (F.col("name") >= 0.5 * F.col("n")) & (F.col("n") >= 5) & (F.length("a") <= 4) | (F.col("figure") >= 0.5 * F.col("n"))))
+        # words in capitals throughout are emphasis
+        return starters, frozenset(r.a for r in abbr.filter(~F.col("a").rlike("^\\p{Lu}{3,}$")).select("a").collect())
     finally:
         c.unpersist()
 
@@ -105,11 +110,11 @@ class Splitter:
     def common(self, word: str, text: str) -> bool | None:
         """Is the capitalised word a common one? The document's own evidence first, then the corpus's; None: unknown."""
         low = word.lower()
-        if low != word and re.search(rf"(?<!\w){re.escape(low)}(?!\w)", text):
+        if low != word and low in text and re.search(rf"(?<![\w.@+/-]){re.escape(low)}(?![\w@+/-]|\.\w)", text):
             return True
         if word in self.starters:
             return True
-        if re.search(rf"[a-zа-яёäöüß],? {re.escape(word)}(?!\w)", text):
+        if f" {word}" in text and re.search(rf"[a-zа-яёäöüß],? {re.escape(word)}(?!\w)", text):
             return False
         return None
 
@@ -136,6 +141,10 @@ class Splitter:
             k -= 1
         token = token[k:]
         first = nxt[:1]
+        if len(token) == 1 and len(nxt) == 1 and _initial.match(s, at + 1):
+            return False  # И. о., Z. B., two initials
+        if (token.isdigit() or len(token) == 1) and _heading_rest.match(s, at + 1) and at - begin < 30 and (begin == 0 or "\n" in s[max(0, begin - 2) : begin + 1]):
+            return False  # a heading with its number
         if _caseless.match(token[-1:] or " "):
             return not self.is_abbreviation(token) and len(token) > 2
         if token[-1:].isdigit():
@@ -144,7 +153,7 @@ class Splitter:
                 return True
             return not first or bool(self.common(nxt, s)) or bool(_caseless.match(first))
         if self.is_abbreviation(token):
-            if not first:
+            if not first or _chain.match(s, at + 1):
                 return False
             return bool(self.common(nxt, s))
         return True
@@ -290,17 +299,24 @@ class Splitter:
         return out
 
 
-def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start_pos, end_pos, sentence) of every unit."""
+def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """(key, start_pos, end_pos, sentence) of every unit; without its text if not wanted."""
     starters, abbreviations = evidence(docs, text)
 
     def make():
         p = Splitter(starters, abbreviations)
 
-        def f(i, t):
-            return [(i, a, b, t[a:b]) for a, b in p.units(t)]
+        def f(ids, texts):
+            keys, first, last, units = [], [], [], []
+            for i, t in zip(ids, texts):
+                u = p.units(t)
+                keys += [i] * len(u)
+                first += [a for a, _ in u]
+                last += [b for _, b in u]
+                if with_text:
+                    units += [t[a:b] for a, b in u]
+            return [keys, first, last, units] if with_text else [keys, first, last]
 
         return f
 
-    kind = dict(docs.dtypes)[key]
-    return map_rows(docs.select(key, text), make, f"{key} {kind}, start_pos int, end_pos int, sentence string")
+    return map_batches(docs.select(key, text), make, f"{key} {dict(docs.dtypes)[key]}, start_pos int, end_pos int" + ", sentence string" * with_text)
