@@ -76,6 +76,7 @@ class Model:
     def states(self, ids: np.ndarray, side: int, out: np.ndarray) -> None:
         """Hidden states of one direction into out[L, B, H]."""
         x, w = self.side[side]
+        ids = ids.astype(np.intp)
         n, b = ids.shape
         hid = self.hidden
         h, c = np.zeros((b, hid), np.float32), np.zeros((b, hid), np.float32)
@@ -95,20 +96,20 @@ class Model:
             h *= z[:, 2 * hid : 3 * hid]
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """[L, B, TAGS] for ids [L, B]."""
+        """[L, TAGS, B] for ids [L, B]: whole batches lie side by side."""
         n, b = ids.shape
         e = None
         out = np.empty((n, b, self.hidden), np.float32)
         for side in (0, 1):
             self.states(ids, side, out)
             part = out.reshape(n * b, -1) @ self.o[side * self.hidden : (side + 1) * self.hidden]
-            e = part if e is None else e + part
-        return (e + self.ob).reshape(n, b, TAGS)
+            e = part if e is None else np.add(e, part, out=e)
+        e += self.ob
+        return np.ascontiguousarray(e.reshape(n, b, TAGS).transpose(0, 2, 1))
 
     def decode(self, e: np.ndarray) -> np.ndarray:
-        """Best tags [L, B] by Viterbi."""
-        n, b, k = e.shape
-        e = np.ascontiguousarray(e.transpose(0, 2, 1))  # [L, TAGS, B]: whole batches side by side
+        """Best tags [L, B] of emissions [L, TAGS, B] by Viterbi."""
+        n, k, b = e.shape
         others = np.r_[0, 1:k:2]
         into = self.a[:, others][:, :, None]
         own = self.a

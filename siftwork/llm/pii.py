@@ -70,10 +70,10 @@ class Tagger:
             x[:n, j] = ids[i][a : a + n]
         e = self.model.emissions(x)
         # windows in which no tag comes near O all along have no spans
-        hot = np.flatnonzero((e[:, :, 1:].max(2) > e[:, :, 0] - 2).any(0))
+        hot = np.flatnonzero((e[:, 1:].max(1) > e[:, 0] - 2).any(0))
         if not len(hot):
             return
-        tags = self.model.decode(e[:, hot])
+        tags = self.model.decode(e[:, :, hot])
         tags[x[:, hot] == 0] = 0
         begin = tags.T.copy()  # [window, place]
         full = np.zeros((begin.shape[0], begin.shape[1] + 1), np.int8)

@@ -299,11 +299,11 @@ def test_gradients():
 def test_viterbi_against_brute_force():
     m = lstm.Model(lstm.fresh(3, 1))
     m.a = (np.random.default_rng(1).normal(0, 1, m.a.shape) + lstm.forbidden()).astype(np.float32)
-    e = np.random.default_rng(2).normal(0, 2, (4, 5, lstm.TAGS)).astype(np.float32)
+    e = np.random.default_rng(2).normal(0, 2, (4, lstm.TAGS, 5)).astype(np.float32)
     import itertools
 
     for b, path in enumerate(m.decode(e).T):
-        score = lambda q: e[0, b, q[0]] - (1e4 if q[0] and q[0] % 2 == 0 else 0) + sum(m.a[q[t - 1], q[t]] + e[t, b, q[t]] for t in range(1, 4))  # noqa: E731, B023
+        score = lambda q: e[0, q[0], b] - (1e4 if q[0] and q[0] % 2 == 0 else 0) + sum(m.a[q[t - 1], q[t]] + e[t, q[t], b] for t in range(1, 4))  # noqa: E731, B023
         assert score(tuple(path)) >= max(score(q) for q in itertools.product(range(lstm.TAGS), repeat=4)) - 1e-3
 
 
