@@ -479,6 +479,19 @@ def subtitle_files(spark, d):
     return documents.subtitles_of(ids.select("listing_id", name(".mp4")), listing).select("listing_id", "path", "subtitle")
 
 
+@query(
+    "video_probe",
+    "SELECT listing_id, CAST(listing_id + 0.5 AS DOUBLE) AS duration, listing_id * 1000 AS bit_rate, 'mp4' AS format, CASE WHEN listing_id % 2 = 0 THEN 640 ELSE 0 END AS width, CAST(CASE WHEN listing_id % 2 = 0 THEN 25.0 ELSE 0 END AS DOUBLE) AS fps, 'aac' AS audio_codec, listing_id % 3 = 0 AS has_embedded_subtitles FROM file_listing",
+)
+def video_probe(spark, d):
+    i = F.col("listing_id").cast("string")
+    video = F.when(F.col("listing_id") % 2 == 0, '{"codec_type":"video","codec_name":"h264","width":640,"height":360,"r_frame_rate":"25/1"},').otherwise("")
+    subs = F.when(F.col("listing_id") % 3 == 0, ',{"codec_type":"subtitle","codec_name":"mov_text"}').otherwise("")
+    probe = F.concat(F.lit('{"format":{"duration":"'), i, F.lit('.5","bit_rate":"'), i, F.lit('000","format_name":"mp4"},"streams":['), video, F.lit('{"codec_type":"audio","codec_name":"aac","channels":2,"sample_rate":"44100"}'), subs, F.lit("]}"))
+    p = table(spark, d, "file_listing").select("listing_id", documents.video_probe(probe).alias("v"))
+    return p.select("listing_id", "v.duration", "v.bit_rate", "v.format", F.coalesce("v.width", F.lit(0)).alias("width"), F.coalesce("v.fps", F.lit(0.0)).alias("fps"), "v.audio_codec", "v.has_embedded_subtitles")
+
+
 # ---------------------------------------------------------------- streaming
 
 

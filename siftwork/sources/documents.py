@@ -121,3 +121,19 @@ def subtitles_of(videos: DataFrame, listing: DataFrame) -> DataFrame:
     stem = lambda c: F.regexp_replace(c, "\\.[^./]*$", "")
     subs = listing.filter(X.suffix(F.col("path")).isin("srt", "vtt", "ass", "ssa")).groupBy(stem(F.col("path")).alias("stem")).agg(F.min_by("path", rank[X.suffix(F.col("path"))]).alias("subtitle"))
     return videos.withColumn("stem", stem(F.col("path"))).join(subs, "stem", "left").drop("stem")
+
+
+def video_probe(c):
+    """Fields of a media probe's JSON: duration, bit rate, format, first video and audio stream, whether subtitles are embedded."""
+    stream = "codec_type string, codec_name string, width int, height int, r_frame_rate string, channels int, sample_rate string"
+    j = F.from_json(c, f"format struct<duration:string, bit_rate:string, format_name:string>, streams array<struct<{stream.replace(' string', ':string').replace(' int', ':int')}>>")
+    streams = F.coalesce(j["streams"], F.array().cast(f"array<struct<{stream.replace(' string', ':string').replace(' int', ':int')}>>"))
+    of = lambda kind: F.get(F.filter(streams, lambda x: x["codec_type"] == kind), F.lit(0))
+    rate = F.split(of("video")["r_frame_rate"], "/")
+    fps = F.try_divide(F.get(rate, F.lit(0)).cast("double"), F.get(rate, F.lit(1)).cast("double"))
+    return F.struct(
+        j["format"]["duration"].cast("double").alias("duration"), j["format"]["bit_rate"].cast("bigint").alias("bit_rate"), j["format"]["format_name"].alias("format"),
+        of("video")["width"].alias("width"), of("video")["height"].alias("height"), of("video")["codec_name"].alias("video_codec"), fps.alias("fps"),
+        of("audio")["codec_name"].alias("audio_codec"), of("audio")["channels"].alias("channels"), of("audio")["sample_rate"].cast("int").alias("sample_rate"),
+        F.exists(streams, lambda x: x["codec_type"] == "subtitle").alias("has_embedded_subtitles"),
+    )
