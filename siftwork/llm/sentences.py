@@ -222,8 +222,8 @@ class Splitter:
                     continue
                 if following.isdigit() and not newline and self.is_abbreviation(re.search(r"[\w.]*$", s[begin:at])[0]):
                     continue
-            if inner and s[opened] not in "(（" and nxt and _caseless.match(nxt) and not newline and not s[begin:opened].strip():
-                continue  # a quotation first, then its speaker
+            if inner and s[opened] not in "(（" and nxt and _caseless.match(nxt) and not newline:
+                continue  # the sentence goes on behind a quotation, or its speaker follows
             out.append(end)
             begin = end
         out.append(n)

@@ -79,6 +79,7 @@ def test_sentences_spaced(units):
         ("都由审计科保管……至今没有清点。本季度占73.84%。", ["都由审计科保管……至今没有清点。", "本季度占73.84%。"]),
         ("डॉ. शाखा प्रमुख ने हस्ताक्षर नहीं किए। \"यह किसका है?\" निरीक्षक ने पूछा।", ["डॉ. शाखा प्रमुख ने हस्ताक्षर नहीं किए।", "\"यह किसका है?\" निरीक्षक ने पूछा।"]),
         ("راجع د. الصفحة من السجل قبل الظهر. لا يجوز أن يتكرر هذا! لماذا؟", ["راجع د. الصفحة من السجل قبل الظهر.", "لا يجوز أن يتكرر هذا!", "لماذا؟"]),
+        ("قال المدير: «أين العقد؟» ثم غادر القاعة. لماذا؟", ["قال المدير: «أين العقد؟» ثم غادر القاعة.", "لماذا؟"]),
         ("ไม่มีใครทราบ ฝ่ายบัญชีเก็บไว้ 11 ปีก่อน แฟ้ม a.pdf เปิดไม่ได้", ["ไม่มีใครทราบ", "ฝ่ายบัญชีเก็บไว้ 11 ปีก่อน", "แฟ้ม a.pdf เปิดไม่ได้"]),
         ("О порядке хранения\n\nЗапись верна.\n1) первое дело;\n2) второе дело.", ["О порядке хранения", "Запись верна.", "1) первое дело;", "2) второе дело."]),
         ("Письмо было отправлено вчера вечером\nсекретарём отдела кадров нашего общества\nпо почте. Запись сделана в журнале дел\nотдела.", ["Письмо было отправлено вчера вечером\nсекретарём отдела кадров нашего общества\nпо почте.", "Запись сделана в журнале дел\nотдела."]),
