@@ -203,7 +203,8 @@ class Splitter:
             while j < n and s[j].isspace():
                 j += 1
             following = s[j : j + 1]
-            newline = "\n" in s[end:j]
+            # a line's end in a hard-wrapped text is no more than a space
+            newline = "\n" in s[end:j] and (not wrapped or self.para(s, end, j))
             if inner and opened > begin and s[begin:opened].strip() and s[spans[k][0]] in "(（" :
                 continue  # brackets within a sentence
             if not newline and following and following in ",;:—–-…)»”":
