@@ -31,21 +31,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query("p5_found")
-def p5_found(spark, d):
-    return badrows.bad_rows(table(spark, d, "large_test_lines")).select("line_id", "reason")
-
-
-@query("p5_loaded")
-def p5_loaded(spark, d):
-    return badrows.valid_rows(table(spark, d, "large_test_lines"))
-
-
-@query("p5_rejected")
-def p5_rejected(spark, d):
-    return badrows.bad_rows(table(spark, d, "large_test_lines"))
-
-
 # ---------------------------------------------------------------- text functions
 
 _WS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -156,6 +141,47 @@ def valid_mrz(spark, d):
     return table(spark, d, "customer").select("c_custkey", V.mrz_digit_ok(F.concat(F.lit("d"), k, F.lit("rz<<")), (k % 10).cast("string")).alias("ok"))
 
 
+# ---------------------------------------------------------------- broken records (problem 5)
+
+
+def _records_sql() -> str:
+    """Records cut by one pattern per separator: quoting is right if the whole record is fields and separators."""
+    field = lambda c: f'"(?:[^"]|"")*"|[^"{c}]*'
+    seps = {",": ",", ";": ";", "\t": "\\t", "|": "\\|"}
+    by_sep = lambda f: "CASE sep " + " ".join(f"WHEN '{s}' THEN {f(c)}" for s, c in seps.items()) + " END"
+    quoted = by_sep(lambda c: f"regexp_full_match(r, '(?:{field(c)})(?:{c}(?:{field(c)}))*')")
+    three = by_sep(lambda c: f"regexp_full_match(r, '(?:{field(c)}){c}(?:{field(c)}){c}(?:{field(c)})')")
+    part = lambda k: by_sep(lambda c: f"regexp_extract(r, '^({field(c)}){c}({field(c)}){c}({field(c)})$', {k})")
+    plain = lambda e: _strip(f"CASE WHEN starts_with({e}, '\"') THEN replace(substr({e}, 2, length({e}) - 2), '\"\"', '\"') ELSE {e} END")
+    missing = "('', 'NA', 'null', 'None')"
+    return f"""h AS (SELECT path, min(raw_line) AS hd FROM large_test_lines WHERE line_no = 1 GROUP BY path),
+        l AS (SELECT line_id, path, line_no, coalesce(raw_line, '') AS r, CASE WHEN contains(hd, ';') THEN ';' WHEN contains(hd, '\t') THEN '\t' WHEN contains(hd, '|') THEN '|' ELSE ',' END AS sep FROM large_test_lines LEFT JOIN h USING (path) WHERE line_no <> 1 OR line_no IS NULL),
+        c AS (SELECT line_id, path, line_no, {quoted} AS q, {three} AS t, {part(1)} AS f1, {part(2)} AS f2, {part(3)} AS f3 FROM l),
+        v AS (SELECT line_id, path, line_no, q, t, {plain('f1')} AS name, {plain('f2')} AS phone, {plain('f3')} AS snils FROM c),
+        w AS (SELECT *, regexp_replace(phone, '{_WS}|[-()+]', '', 'g') AS p, regexp_replace(snils, '{_WS}|-', '', 'g') AS d FROM v),
+        records AS (SELECT *, CASE WHEN NOT q THEN 'quoting' WHEN NOT t THEN 'columns' WHEN NOT regexp_matches(name, '\\p{{L}}') THEN 'bad_name' WHEN phone NOT IN {missing} AND NOT regexp_full_match(p, '[78][0-9]{{10}}') THEN 'bad_phone'
+            WHEN snils NOT IN {missing} AND NOT CASE WHEN regexp_full_match(d, '[0-9]{{11}}') THEN {_SNILS_OK} ELSE false END THEN 'bad_snils' END AS reason FROM w)"""
+
+
+@query("p5_found", f"WITH {_records_sql()} SELECT line_id, reason FROM records WHERE reason IS NOT NULL")
+def p5_found(spark, d):
+    return badrows.bad_rows(table(spark, d, "large_test_lines")).select("line_id", "reason")
+
+
+@query(
+    "p5_loaded",
+    f"""WITH {_records_sql()} SELECT line_id, path, line_no, name AS fio, CASE WHEN phone NOT IN ('', 'NA', 'null', 'None') THEN '7' || substr(p, 2) END AS phone,
+        CASE WHEN snils NOT IN ('', 'NA', 'null', 'None') THEN d END AS snils FROM records WHERE reason IS NULL""",
+)
+def p5_loaded(spark, d):
+    return badrows.valid_rows(table(spark, d, "large_test_lines"))
+
+
+@query("p5_rejected")
+def p5_rejected(spark, d):
+    return badrows.bad_rows(table(spark, d, "large_test_lines"))
+
+
 # ---------------------------------------------------------------- detectors: a text for each customer, every fifth without a match
 
 _K = "c_custkey"
