@@ -234,7 +234,7 @@ def findings_in(results: DataFrame, findings: DataFrame, path: str = MODEL) -> D
     f = findings.select("result_id", "finding_id", "pattern_name", "value", F.regexp_replace("context_snippet", "\\A\\s+\\z", "").alias("snippet"))
     many = f.filter("result_id is not null").groupBy("result_id").count().filter(F.col("count") > BLOCK).select("result_id", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     many = F.broadcast(many) if many.limit(100_001).count() <= 100_000 else many
-    blocked = f.join(many, "result_id", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("finding_id"), F.col("blocks")).cast("int")).when(F.col("result_id").isNull(), F.xxhash64("finding_id").cast("int")).otherwise(0))
+    blocked = f.join(many, "result_id", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("finding_id"), F.col("blocks")).cast("int")).when(F.col("result_id").isNull(), F.hash("finding_id")).otherwise(0))
     lists = blocked.groupBy("result_id", "block").agg(F.collect_list(F.struct("finding_id", "pattern_name", "value", "snippet")).alias("f"))
     texts = results.select("result_id", "text").join(many, "result_id", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0))))).drop("blocks")
     rows = texts.join(lists, ["result_id", "block"], "full")
