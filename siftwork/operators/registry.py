@@ -62,6 +62,7 @@ ORIGIN = words("национальн(?:ость|ая принадлежност
 CRIMINAL = words("судим(?:ость|ости)", "уголовн(?:ое|ый) (?:дело|преследование|запись)", "привлекался к уголовной", "снят(?:ие|ие) судимости")
 
 _i = "(?iu)"
+# Names, categories, least lengths, and the forms each detector accepts, in the order in which detectors run.
 _ROWS = [
     ("full_name_context", "full_name", "Name near a role word", f"{_i}{ROLES}[ \\t]*:?[ \\t]*\\n?[ \\t]*(?={UP})({SURNAME})[ \\t]+{FIRST}(?:[ \\t]+{PATRONYMIC})?", dict(min_length=10, probe="name")),
     ("full_name", "full_name", "Surname, first name, patronymic", f"(?<!{RUS})({SURNAME}){S}+{FIRST}{S}+{PATRONYMIC}(?!{RUS})", dict(min_length=10, probe="name")),
