@@ -221,11 +221,12 @@ def squeezed_value(s: str) -> str:
     return _squeeze.sub("", s).lower()
 
 
+FLAT = "field string, row_id bigint, start_pos int, end_pos int, kind string"
 SCHEMA = "field string, row_id bigint, spans array<struct<start_pos:int,end_pos:int,kind:string>>, replaced string"
 
 
-def findings_in(results: DataFrame, findings: DataFrame, path: str = MODEL) -> DataFrame:
-    """(field, row_id, spans, replaced) of every text, snippet and value.
+def findings_in(results: DataFrame, findings: DataFrame, path: str = MODEL, flat: bool = False) -> DataFrame:
+    """(field, row_id, spans, replaced) of every text, snippet and value with cases; flat: FLAT's columns, a row for each case.
 
     results: result_id, text; findings: finding_id, result_id, pattern_name, value, context_snippet. Findings of a result are brought to
     its text in blocks, so that a result with very many costs several rows, each with a copy of the text. Findings without a result
@@ -283,6 +284,9 @@ def findings_in(results: DataFrame, findings: DataFrame, path: str = MODEL) -> D
                 if size > 1_000_000 or b == len(texts) - 1:
                     run(*(c[a : b + 1] for c in columns), out)
                     a, size = b + 1, 0
+            if flat:
+                rows = [(field, row, x, y, k) for field, row, spans, _ in out for x, y, k in spans]
+                return [list(c) for c in zip(*rows)] if rows else [[]] * 5
             cols = [[], [], [], []]
             for field, row, spans, text in out:
                 cols[0].append(field)
@@ -293,7 +297,7 @@ def findings_in(results: DataFrame, findings: DataFrame, path: str = MODEL) -> D
 
         return f
 
-    return map_batches(rows, make, SCHEMA)
+    return map_batches(rows, make, FLAT if flat else SCHEMA)
 
 
 def add_found(out: list, fid: int, pattern: str | None, value: str | None, snippet: str | None, spans: list[tuple[int, int, str]], same: set[str] | None = None) -> None:
@@ -317,6 +321,6 @@ def add_found(out: list, fid: int, pattern: str | None, value: str | None, snipp
         out.append(("value", fid, [(0, len(value), kind)], value))
 
 
-def occurrences(found: DataFrame) -> DataFrame:
-    """(field, row_id, start_pos, end_pos, kind), one row each."""
-    return found.select("field", "row_id", F.explode("spans").alias("s")).select("field", "row_id", "s.start_pos", "s.end_pos", "s.kind")
+def occurrences(results: DataFrame, findings: DataFrame, path: str = MODEL) -> DataFrame:
+    """(field, row_id, start_pos, end_pos, kind), one row per case."""
+    return findings_in(results, findings, path, flat=True)

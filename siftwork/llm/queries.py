@@ -151,16 +151,17 @@ def p8_mixture(spark, d):
 
 
 def personal(spark, d):
+    """The texts and the findings of problem 1."""
     f = table(spark, d, "pii_findings").select("finding_id", "result_id", "pattern_name", "value", "context_snippet")
-    return pii.findings_in(results(spark, d, "text"), spread(f))
+    return results(spark, d, "text"), spread(f)
 
 
 @query("p1_found")
 def p1_found(spark, d):
-    return pii.occurrences(personal(spark, d))
+    return pii.occurrences(*personal(spark, d))
 
 
 @query("p1_replaced")
 def p1_replaced(spark, d):
     """Fields with typed placeholders, where anything was replaced."""
-    return personal(spark, d).select("field", "row_id", "replaced")
+    return pii.findings_in(*personal(spark, d)).select("field", "row_id", "replaced")

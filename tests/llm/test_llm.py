@@ -363,7 +363,7 @@ def test_findings(spark):
         (13, None, None, None, None), (14, 9, "biometric", "снимоклица", "Снимок лица посетителей"), (15, 1, "phone", "", ""), (10, 1, "phone", "85903995229", "…ев Матвей Евгеньевич продиктовал номер 8-590-399-52-29 и попросил не звонить…"),
     ]
     f = spark.createDataFrame(rows, "finding_id long, result_id long, pattern_name string, value string, context_snippet string").withColumn("text", F.lit("x"))
-    got = [tuple(r) for r in pii.occurrences(pii.findings_in(results, f)).collect()]
+    got = [tuple(r) for r in pii.occurrences(results, f).collect()]
     a = t.index("8-590")
     assert ("text", 1, a, a + 15, "phone") in got and ("text", 1, 7, 34, "name") in got
     assert got.count(("value", 10, 0, 11, "phone")) == 2 and ("value", 11, 0, 25, "name") in got and ("value", 12, 0, 11, "phone") in got
@@ -380,7 +380,7 @@ def test_blocks_of_many_findings(spark, monkeypatch):
     t = "Клиент продиктовал номер 8-590-399-52-29 и попросил не звонить."
     results = spark.createDataFrame([(1, t)], "result_id long, text string")
     f = spark.createDataFrame([(k, 1, "phone", "85903995229", t) for k in range(9)], "finding_id long, result_id long, pattern_name string, value string, context_snippet string")
-    got = [tuple(r) for r in pii.occurrences(pii.findings_in(results, f)).collect()]
+    got = [tuple(r) for r in pii.occurrences(results, f).collect()]
     assert len([g for g in got if g[0] == "text"]) == 1 and len([g for g in got if g[0] == "value"]) == 9
 
 
