@@ -1,7 +1,7 @@
 """Noise in text from scanned pages (problem 3): broken words, misread characters, running headers and page numbers.
 
 * Word counts cover every text. Misread words are found in SQL by anagram hashes: the hash of a word is the sum of the fifth powers
-  of its characters, so replacing a character changes it by a difference that depends on nothing else. Words that scans alone have are
+  of its characters, so replacing a character changes it by a difference that depends on nothing else. Words that stand (almost) in scans alone are
   joined with frequent words at the differences of the confusable pairs, then compared place by place; corrections are ranked by
   frequency.
 * Running headers are edge lines whose shape (numbers as #) stands at page edges throughout the corpus and hardly inside pages, or at the
@@ -35,6 +35,8 @@ CONFUSABLE = [
 SURE = {w for _, w in CONFUSABLE if not w.isalpha() and w not in "@+" or w in ("ьі", "ЬІ")}
 #: How many times as frequent the right word must be.
 RATIO = 3
+#: How many times as large a misread word's share of the words in scans must be as its share elsewhere.
+LIFT = 10
 MAX_FIXES = 200_000
 SHARE = 1e-5
 IMAGES = ("tif", "tiff", "png", "jpg", "jpeg")
@@ -139,26 +141,47 @@ def parts_at(lines: list[str], a: int, b: int) -> tuple[str, str, str]:
     return left, m[1], right
 
 
-def survey(results: DataFrame) -> DataFrame:
-    """(kind, a, n, m): words with their numbers in scans and elsewhere, line shapes with theirs at edges and inside."""
+def survey_lines(results: DataFrame) -> DataFrame:
+    """(kind, a, n, m): line shapes of scans with their numbers at edges and inside; PDFs count if a page has its number."""
 
     def make():
         def f(texts, chunks, scan):
-            w: dict[str, list[int]] = {}
             s: dict[str, list[int]] = {}
+            for t, ch, o in zip(texts, chunks, scan):
+                if not t or not (o == 2 or o == 1 and paged(t, ch)):
+                    continue
+                for page in pages_of(t, ch):
+                    lines = page.split("\n")
+                    e = set(edges(lines))
+                    for k, x in enumerate(lines):
+                        if k in e and not could_head(x):
+                            continue
+                        y = s.setdefault(shape(x), [0, 0])
+                        y[k not in e] += 1
+            rows = [("s", x, n, m) for x, (n, m) in s.items() if n and len(x) < 90 or not n and could_head(x)]
+            return [list(c) for c in zip(*rows)] if rows else [[]] * 4
+
+        return f
+
+    part = map_batches(results.filter("scan > 0").select("text", "chunks", "scan"), make, "kind string, a string, n bigint, m bigint")
+    return part.groupBy("kind", "a").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def survey(results: DataFrame, heads: list[str]) -> DataFrame:
+    """(kind, a, n, m): words with their numbers in scans and elsewhere; what is a scan is decided as in repair()."""
+
+    def make():
+        reader = Page(heads, {})
+
+        def f(texts, chunks, scan):
+            w: dict[str, list[int]] = {}
             for t, ch, o in zip(texts, chunks, scan):
                 if not t:
                     continue
-                o = o == 2 or o == 1 and paged(t, ch)
+                o = o == 2 or o == 1 and bool(reader.lines_and_heads(t, ch)[1])
                 if o:
                     for page in pages_of(t, ch):
                         lines = page.split("\n")
-                        e = set(edges(lines))
-                        for k, x in enumerate(lines):
-                            if k in e and not could_head(x):
-                                continue
-                            y = s.setdefault(shape(x), [0, 0])
-                            y[k not in e] += 1
                         for a, b in body_and_breaks(lines, set()):
                             left, _, right = parts_at(lines, a, b)
                             w.setdefault(left + right, [0, 0])[0] += 1
@@ -168,8 +191,7 @@ def survey(results: DataFrame) -> DataFrame:
                     w.setdefault(x, [0, 0])[not o] += n
                 for x in re.findall(r"[^\W\d_]+-[^\W\d_]+", t):
                     w.setdefault(x, [0, 0])[not o] += 1
-            rows = [("w", x, n, m) for x, (n, m) in w.items() if len(x) < 40] + [("s", x, n, m) for x, (n, m) in s.items() if n and len(x) < 90]
-            rows += [("s", x, 0, m) for x, (n, m) in s.items() if not n and could_head(x)]
+            rows = [("w", x, n, m) for x, (n, m) in w.items() if len(x) < 40]
             return [list(c) for c in zip(*rows)] if rows else [[]] * 4
 
         return f
@@ -192,7 +214,8 @@ def corrections(surveyed: DataFrame) -> DataFrame:
     frequent = hashed.filter(f"n >= 8 and word rlike '^[\\\\p{{L}}]+$'").select(F.col("word").alias("right"), F.col("n").alias("frequency"), "h")
     power = lambda s: sum(ord(c) ** 5 for c in s)
     table = spark.createDataFrame([(r, w, power(w) - power(r)) for r, w in CONFUSABLE], "good string, bad string, d bigint")
-    rare = hashed.filter("other = 0 and (length(word) >= 4 or length(word) = 3 and word rlike '[^\\\\p{L}]')").select(F.col("word").alias("wrong"), "n", F.col("h").alias("hw"))
+    of = words.agg(F.sum("scans").alias("scans"), F.sum("other").alias("other")).first()
+    rare = hashed.filter(F.col("scans") * (of.other or 0) >= F.col("other") * (LIFT * (of.scans or 0))).filter("scans > 0 and (length(word) >= 4 or length(word) = 3 and word rlike '[^\\\\p{L}]')").select(F.col("word").alias("wrong"), "n", F.col("h").alias("hw"))
     candidates = rare.join(F.broadcast(table), F.expr("contains(wrong, bad)")).withColumn("h", F.col("hw") - F.col("d"))
     pairs = candidates.join(frequent, "h").filter(f"frequency >= {RATIO} * n")
     fits = F.expr("exists(sequence(1, length(wrong)), i -> concat(substring(wrong, 1, i - 1), good, substring(wrong, i + length(bad), 99)) = right AND substring(wrong, i, length(bad)) = bad)")
@@ -201,9 +224,12 @@ def corrections(surveyed: DataFrame) -> DataFrame:
 
 def headers(surveyed: DataFrame) -> list[str]:
     """Shapes of running headers and footers; at most 1 / SHARE, since each is that share of all edge lines."""
-    shapes = surveyed.filter("kind = 's'")
+    shapes = surveyed.filter("kind = 's'").persist()
     total = shapes.agg(F.sum("n").alias("n")).first().n or 0
-    return sorted(r.a for r in shapes.filter((F.col("n") >= max(4, SHARE * total)) & (F.col("m") <= 0.2 * F.col("n")) & F.col("a").rlike("\\p{L}{3}")).collect())
+    try:
+        return sorted(r.a for r in shapes.filter((F.col("n") >= max(4, SHARE * total)) & (F.col("m") <= 0.2 * F.col("n")) & F.col("a").rlike("\\p{L}{3}")).collect())
+    finally:
+        shapes.unpersist()
 
 
 def compounds(surveyed: DataFrame) -> DataFrame:
@@ -253,6 +279,20 @@ class Page:
                     break
         return out
 
+    def lines_and_heads(self, text: str, chunks: list[str] | None) -> tuple[list[str], dict[int, str]]:
+        """All lines of the text, and line -> header or page_number; a PDF without any isn't a scan."""
+        lines: list[str] = []
+        heads: dict[int, str] = {}
+        split = [p.split("\n") for p in pages_of(text, chunks)]
+        count = Counter((e, shape(ls[k])) for ls in split for e, k in self._ends(ls) if could_head(ls[k]))
+        repeated = {s for (e, s), n in count.items() if n >= 3 and re.search(r"[^\W\d_]{3}", s)}
+        for k, ls in enumerate(split):
+            if k:
+                lines.append("")
+            heads |= {len(lines) + i: kind for i, kind in self.roles(ls, repeated).items()}
+            lines += ls
+        return lines, heads
+
     def is_compound(self, left: str, right: str) -> bool:
         word = f"{left.split('-')[-1]}-{right}"
         return self.compound.get(word, 0) > 0 or self.compound.get(word.lower(), 0) > 0
@@ -278,17 +318,7 @@ class Page:
 
     def findings(self, text: str, chunks: list[str] | None, fixes: dict[str, str]) -> tuple[list[tuple[int, str]], list[str]]:
         """((line_no, kind) of the text, repaired paragraphs)."""
-        pages = pages_of(text, chunks)
-        lines: list[str] = []
-        heads: dict[int, str] = {}
-        split = [p.split("\n") for p in pages]
-        count = Counter((e, shape(ls[k])) for ls in split for e, k in self._ends(ls) if could_head(ls[k]))
-        repeated = {s for (e, s), n in count.items() if n >= 3 and re.search(r"[^\W\d_]{3}", s)}
-        for k, ls in enumerate(split):
-            if k:
-                lines.append("")
-            heads |= {len(lines) + i: kind for i, kind in self.roles(ls, repeated).items()}
-            lines += ls
+        lines, heads = self.lines_and_heads(text, chunks)
         found: set[tuple[int, str]] = {(k + 1, kind) for k, kind in heads.items()}
         fixed = list(lines)
         broken: dict[int, tuple[int, bool]] = {}
@@ -362,9 +392,9 @@ FOUND = "result_id bigint, found array<struct<line_no:int,kind:string>>, paragra
 def repair(results: DataFrame) -> DataFrame:
     """(result_id, found, paragraphs) of every scanned result; needs result_id, file_format, text, chunks and metadata."""
     rows = results.select("result_id", "text", "chunks", scan_kind(F.col("metadata"), F.col("file_format")).alias("scan")).filter("text is not null and text <> ''")
-    surveyed = survey(rows).persist()
+    heads = headers(survey_lines(rows))
+    surveyed = survey(rows, heads).persist()
     try:
-        heads = headers(surveyed)
         # compounds are a small, slowly growing part of the words; those of a share below SHARE aren't needed
         total = surveyed.filter("kind = 'w'").agg(F.sum(F.col("n") + F.col("m")).alias("n")).first().n or 0
         compound = {r.a: r.n for r in compounds(surveyed).filter(F.col("n") >= max(2, SHARE * 0.1 * total)).collect()}

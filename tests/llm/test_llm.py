@@ -252,6 +252,24 @@ def test_anagram_join_against_brute_force(spark):
     assert got == want and got
 
 
+def test_pdf_with_numbered_header_is_a_scan_in_both_passes(spark):
+    plain = [(k, "docx", "Сотрудник архива получил документ.", None, {"backend": "text"}) for k in range(60)]
+    pages = [f"ЖУРНАЛ УЧЁТА\n- {n} -\nСотрудник получил докумепт." for n in range(1, 6)]
+    numbered = [f"ЖУРНАЛ УЧЁТА {n}\nСотрудник получил докумепт." for n in range(1, 4)]
+    df = spark.createDataFrame(
+        plain + [(100, "pdf", "\n\n".join(pages), pages, {"backend": "ocr"}), (101, "pdf", "\n\n".join(numbered), numbered, {"backend": "text"})],
+        "result_id long, file_format string, text string, chunks array<string>, metadata map<string,string>",
+    )
+    got = {r.result_id: [f.kind for f in r.found] for r in scans.repair(df).collect()}
+    assert got[100].count("misread") == 5 and got[101].count("misread") == 3 and got[101].count("header") == 3
+
+
+def test_a_stray_occurrence_keeps_a_correction(spark):
+    words = [("документ", 100, 400), ("докумепт", 20, 1), ("архив", 100, 400), ("архнв", 5, 20), ("слово", 0, 100)]
+    df = spark.createDataFrame([("w", *x) for x in words], "kind string, a string, n long, m long")
+    assert {x.wrong: x.right for x in scans.corrections(df).collect()} == {"докумепт": "документ"}
+
+
 def test_many_fixes_are_joined(spark, monkeypatch):
     monkeypatch.setattr(scans, "MAX_FIXES", 0)
     rows = [(k, "docx", "получил документ", None, {"backend": "text"}) for k in range(30)] + [(100, "pdf", "получил докумепт", ["получил докумепт"], {"backend": "ocr"})]
