@@ -284,6 +284,12 @@ def email_context(spark, d):
     return one.select("result_id", "context_snippet")
 
 
+@query("email_contexts")
+def email_contexts(spark, d):
+    """The context of every finding, that of the value's first occurrence; email_context is the part that its SQL describes."""
+    return detect.findings(texts(spark, d), ["result_id"], detectors=["email"], clean=True).select("result_id", "value", "context_snippet")
+
+
 @query("chunk_findings", f"SELECT result_id, lower(replace(t, '-', '')) AS value, count(*) AS count FROM ({_tokens(key='result_id', text='c', table='(SELECT result_id, unnest(chunks) AS c FROM extraction_results)')}) WHERE {_EMAIL} GROUP BY ALL")
 def chunk_findings(spark, d):
     chunks = spread(table(spark, d, "extraction_results").select("result_id", "chunks")).select("result_id", F.posexplode("chunks").alias("chunk_no", "text"))

@@ -117,3 +117,27 @@ def test_clean_is_stable(spark):
     df = spark.createDataFrame([("« a» b\r\n",)], "t string")
     once = df.select(clean_text(F.col("t")).alias("t"))
     assert once.select(clean_text(F.col("t")).alias("t")).collect() == once.collect()
+
+
+def test_email_contexts_of_every_finding(spark, tmp_path):
+    from siftwork.queries import QUERIES
+
+    pad = "много слов о делах архива и его сотрудниках " * 3
+    texts = {
+        1: f"{pad}первый a.b@mail.ru {pad}второй C.D@mail.ru {pad}снова A.B@mail.ru конец",
+        2: "пишите x@y.com и z@y.com",
+        3: f"один e-mail: only-one@firma.de {pad.strip()}",
+        4: "без адреса здесь ничего",
+    }
+    spark.createDataFrame(list(texts.items()), "result_id long, text string").write.parquet(str(tmp_path / "extraction_results.parquet"))
+    want = set()
+    for k, t in texts.items():
+        seen = set()
+        for m in re.finditer(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,10}", t):
+            value = m[0].lower().replace("-", "")
+            if value not in seen:
+                a, b = max(m.start() - 60, 0), min(m.end() + 60, len(t))
+                want.add((k, value, "…" * (a > 0) + t[a:b] + "…" * (b < len(t))))
+            seen.add(value)
+    rows = QUERIES["email_contexts"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) == 5
