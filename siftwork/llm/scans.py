@@ -8,7 +8,8 @@
   same edge of several pages of a document. Headers with a misread character are matched to these.
 * A word broken at a line's end is joined if the corpus knows the joined word better than the hyphenated one.
 
-Corrections are broadcast up to MAX_FIXES rows and joined to the documents' words beyond that.
+Corrections, compounds and header shapes are broadcast up to MAX_FIXES rows each; beyond that they are joined to the words, broken words
+and edge lines of the scans. Least counts don't depend on the corpus's size.
 
 Defined cases: rows with null or empty text or pages give nothing; results that were recognised and images count as scans,
 PDFs if their pages have headers or numbers; repeated rows give repeated results; `text` that isn't the pages joined by a blank line is one page.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.util import map_batches, map_rows
+from siftwork.util import checkpoint, map_batches, map_rows
 
 #: (right, wrong) pairs that optical recognition confuses (fixed values).
 CONFUSABLE = [
@@ -38,7 +39,6 @@ RATIO = 3
 #: How many times as large a misread word's share of the words in scans must be as its share elsewhere.
 LIFT = 10
 MAX_FIXES = 200_000
-SHARE = 1e-5
 IMAGES = ("tif", "tiff", "png", "jpg", "jpeg")
 
 _edge = "«»“”„\"'(),.;:!?…—–[]<>’"
@@ -167,18 +167,18 @@ def survey_lines(results: DataFrame) -> DataFrame:
     return part.groupBy("kind", "a").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def survey(results: DataFrame, heads: list[str]) -> DataFrame:
+def survey(results: DataFrame, heads: list[str] | None) -> DataFrame:
     """(kind, a, n, m): words with their numbers in scans and elsewhere; what is a scan is decided as in repair()."""
 
     def make():
-        reader = Page(heads, {})
+        read = reader(heads)
 
-        def f(texts, chunks, scan):
+        def f(texts, chunks, scan, own):
             w: dict[str, list[int]] = {}
-            for t, ch, o in zip(texts, chunks, scan):
+            for t, ch, o, h in zip(texts, chunks, scan, own):
                 if not t:
                     continue
-                o = o == 2 or o == 1 and bool(reader.lines_and_heads(t, ch)[1])
+                o = o == 2 or o == 1 and bool(read(h).lines_and_heads(t, ch)[1])
                 if o:
                     for page in pages_of(t, ch):
                         lines = page.split("\n")
@@ -196,7 +196,7 @@ def survey(results: DataFrame, heads: list[str]) -> DataFrame:
 
         return f
 
-    part = map_batches(results.select("text", "chunks", "scan"), make, "kind string, a string, n bigint, m bigint")
+    part = map_batches(results.select("text", "chunks", "scan", "heads"), make, "kind string, a string, n bigint, m bigint")
     return part.groupBy("kind", "a").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
@@ -222,33 +222,84 @@ def corrections(surveyed: DataFrame) -> DataFrame:
     return pairs.filter(fits).groupBy("wrong").agg(F.max_by("right", F.struct("frequency", "right")).alias("right"), F.max("frequency").alias("n"))
 
 
-def headers(surveyed: DataFrame) -> list[str]:
-    """Shapes of running headers and footers; at most 1 / SHARE, since each is that share of all edge lines."""
-    shapes = surveyed.filter("kind = 's'").persist()
-    total = shapes.agg(F.sum("n").alias("n")).first().n or 0
-    try:
-        return sorted(r.a for r in shapes.filter((F.col("n") >= max(4, SHARE * total)) & (F.col("m") <= 0.2 * F.col("n")) & F.col("a").rlike("\\p{L}{3}")).collect())
-    finally:
-        shapes.unpersist()
+def headers(surveyed: DataFrame) -> DataFrame:
+    """(a): shapes of running headers and footers."""
+    return surveyed.filter("kind = 's'").filter((F.col("n") >= 4) & (F.col("m") <= 0.2 * F.col("n")) & F.col("a").rlike("\\p{L}{3}")).select("a")
 
 
 def compounds(surveyed: DataFrame) -> DataFrame:
-    """(a, n): hyphenated compounds that the corpus has more often than the word without the hyphen."""
+    """(a, n): hyphenated compounds that the corpus has twice at least and more often than the word without the hyphen."""
     words = surveyed.filter("kind = 'w'").select("a", (F.col("n") + F.col("m")).alias("n"))
-    pairs = words.filter("a rlike '^[\\\\p{L}]+-[\\\\p{L}]+$'").withColumn("w", F.regexp_replace("a", "-", ""))
+    pairs = words.filter("n >= 2 and a rlike '^[\\\\p{L}]+-[\\\\p{L}]+$'").withColumn("w", F.regexp_replace("a", "-", ""))
     whole = words.select(F.col("a").alias("w"), F.col("n").alias("whole"))
     return pairs.join(whole, "w", "left").filter("n > coalesce(whole, 0)").select("a", "n")
 
 
+def few(evidence: DataFrame) -> list | None:
+    """The rows, if they aren't too many to be sent to the workers."""
+    rows = evidence.limit(MAX_FIXES + 1).collect()
+    return rows if len(rows) <= MAX_FIXES else None
+
+
+def put_right(s: str, most: int) -> set[str]:
+    """s and its forms with up to `most` misread characters put right: whatever is near() to s."""
+    out = {s}
+    for right, wrong in CONFUSABLE if most else ():
+        k = s.find(wrong)
+        while k >= 0:
+            out |= put_right(s[:k] + right + s[k + len(wrong) :], most - 1)
+            k = s.find(wrong, k + 1)
+    return out
+
+
+def head_forms(s: str) -> set[str]:
+    """The headers that a line of this shape may be: without a page number behind it, with misread characters put right."""
+    forms = {s, s[:-2].rstrip()} if s.endswith(" #") else {s}
+    return forms if len(s) < 8 or len(s) > 90 else {g for f in forms for g in put_right(f, 2)}
+
+
+def with_heads(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds the column heads: the known header shapes that a row's edge lines may be."""
+
+    def lines(i, text, chunks):
+        split = [p.split("\n") for p in pages_of(text, chunks)]
+        return [(i, x) for x in {shape(ls[k]) for ls in split for k in edges(ls) if could_head(ls[k])}]
+
+    used = map_rows(rows.filter("scan > 0").select("result_id", "text", "chunks"), lambda: lines, "result_id bigint, line string")
+    forms = map_rows(used.select("line").distinct(), lambda: lambda s: [(s, f) for f in head_forms(s)], "line string, a string")
+    per = used.join(forms.join(known, "a"), "line").groupBy("result_id").agg(F.collect_set("a").alias("heads"))
+    return rows.join(per, "result_id", "left")
+
+
+def with_compounds(scans: DataFrame, known: DataFrame, heads: list[str] | None) -> DataFrame:
+    """Adds the column compounds: the known ones among a row's words broken at a line's end."""
+
+    def make():
+        read = reader(heads)
+
+        def f(i, text, chunks, own):
+            page = read(own)
+            return [(i, w) for w in {w for left, right in page.broken(text, chunks) for w in page.compound_forms(left, right)}]
+
+        return f
+
+    used = map_rows(scans.select("result_id", "text", "chunks", "heads"), make, "result_id bigint, a string")
+    per = used.join(known.select("a"), "a").groupBy("result_id").agg(F.collect_set("a").alias("compounds"))
+    return scans.join(per, "result_id", "left")
+
+
+def reader(heads: list[str] | None):
+    """row's own header shapes -> Page; one for all rows if the shapes are known."""
+    page = Page(heads, ()) if heads is not None else None
+    return lambda own: page or Page(own or (), ())
+
+
 class Page:
     """Repairs the pages of one scanned text with the corpus's evidence."""
 
-    def __init__(self, heads: list[str], compound: dict[str, int]):
+    def __init__(self, heads, compound):
         self.heads = set(heads)
-        self.compound = compound
-        self.by_length: dict[int, list[str]] = {}
-        for h in heads:
-            self.by_length.setdefault(len(h), []).append(h)
+        self.compound = set(compound)
         self.memo: dict[str, bool] = {}
 
     def head(self, line: str) -> bool:
@@ -256,11 +307,8 @@ class Page:
         s = shape(line)
         if s in self.heads or s.endswith(" #") and s[:-2].rstrip() in self.heads:
             return True
-        if len(s) < 8 or len(s) > 90:
-            return False
         if s not in self.memo:
-            forms = {s, s[:-2].rstrip()} if s.endswith(" #") else {s}
-            self.memo[s] = any(near(f, h, 2) for f in forms for d in (0, 1, 2) for h in self.by_length.get(len(f) - d, ()))
+            self.memo[s] = not self.heads.isdisjoint(head_forms(s))
         return self.memo[s]
 
     def roles(self, lines: list[str], repeated: set[str]) -> dict[int, str]:
@@ -293,9 +341,19 @@ class Page:
             lines += ls
         return lines, heads
 
-    def is_compound(self, left: str, right: str) -> bool:
+    def broken(self, text: str, chunks: list[str] | None) -> set[tuple[str, str]]:
+        """(beginning, rest) of the words broken at a line's end."""
+        lines, heads = self.lines_and_heads(text, chunks)
+        parts = [parts_at(lines, a, b) for a, b in body_and_breaks(lines, set(heads))]
+        return {(left, right) for left, _, right in parts}
+
+    @staticmethod
+    def compound_forms(left: str, right: str) -> tuple[str, str]:
         word = f"{left.split('-')[-1]}-{right}"
-        return self.compound.get(word, 0) > 0 or self.compound.get(word.lower(), 0) > 0
+        return word, word.lower()
+
+    def is_compound(self, left: str, right: str) -> bool:
+        return any(w in self.compound for w in self.compound_forms(left, right))
 
     def misread(self, word: str, fixes: dict[str, str]) -> str | None:
         """The right form of a misread word."""
@@ -392,30 +450,41 @@ FOUND = "result_id bigint, found array<struct<line_no:int,kind:string>>, paragra
 def repair(results: DataFrame) -> DataFrame:
     """(result_id, found, paragraphs) of every scanned result; needs result_id, file_format, text, chunks and metadata."""
     rows = results.select("result_id", "text", "chunks", scan_kind(F.col("metadata"), F.col("file_format")).alias("scan")).filter("text is not null and text <> ''")
-    heads = headers(survey_lines(rows))
-    surveyed = survey(rows, heads).persist()
+    shapes = headers(survey_lines(rows)).persist()
+    surveyed = None
     try:
-        # compounds are a small, slowly growing part of the words; those of a share below SHARE aren't needed
-        total = surveyed.filter("kind = 'w'").agg(F.sum(F.col("n") + F.col("m")).alias("n")).first().n or 0
-        compound = {r.a: r.n for r in compounds(surveyed).filter(F.col("n") >= max(2, SHARE * 0.1 * total)).collect()}
+        known = few(shapes)
+        heads = None if known is None else sorted(r.a for r in known)
+        # what is too many to be sent stays in checkpoints, since it is used behind this function
+        rows = rows.withColumn("heads", F.lit(None).cast("array<string>")) if heads is not None else with_heads(rows, checkpoint(shapes))
+        surveyed = survey(rows, heads).persist()
+        joined = compounds(surveyed)
+        known = few(joined)
+        compound = None if known is None else [r.a for r in known]
+        if compound is None:
+            joined = checkpoint(joined)
         fixes = corrections(surveyed).persist()
-        few = fixes.limit(MAX_FIXES + 1).count() <= MAX_FIXES
-        table = {r.wrong: r.right for r in fixes.collect()} if few else None
+        known = few(fixes)
+        table = None if known is None else {r.wrong: r.right for r in known}
     finally:
-        surveyed.unpersist()
-    scans = rows.filter("scan > 0").select("result_id", "text", "chunks", "scan")
-    if not few:
-        used = map_rows(scans, lambda: lambda i, t, c, o: [(i, w) for w in set(words_of(t))], "result_id bigint, wrong string")
+        shapes.unpersist()
+        if surveyed is not None:
+            surveyed.unpersist()
+    scans = rows.filter("scan > 0").select("result_id", "text", "chunks", "scan", "heads")
+    scans = scans.withColumn("compounds", F.lit(None).cast("array<string>")) if compound is not None else with_compounds(scans, joined, heads)
+    if table is None:
+        used = map_rows(scans.select("result_id", "text"), lambda: lambda i, t: [(i, w) for w in set(words_of(t))], "result_id bigint, wrong string")
         per = used.join(fixes.select("wrong", "right"), "wrong").groupBy("result_id").agg(F.map_from_entries(F.collect_list(F.struct("wrong", "right"))).alias("fixes"))
         scans = scans.join(per, "result_id", "left")
     else:
         scans = scans.withColumn("fixes", F.lit(None).cast("map<string,string>"))
 
     def make():
-        page = Page(heads, compound)
+        page = Page(heads, compound) if heads is not None and compound is not None else None
 
-        def f(i, text, chunks, kind, own):
-            found, paragraphs = page.findings(text, chunks, table if table is not None else dict(own or {}))
+        def f(i, text, chunks, kind, shapes, words, own):
+            p = page or Page(heads if heads is not None else shapes or (), compound if compound is not None else words or ())
+            found, paragraphs = p.findings(text, chunks, table if table is not None else dict(own or {}))
             if kind == 1 and not any(k in ("header", "page_number") for _, k in found):
                 return []
             return [(i, [{"line_no": a, "kind": b} for a, b in found], paragraphs)]

@@ -270,6 +270,29 @@ def test_a_stray_occurrence_keeps_a_correction(spark):
     assert {x.wrong: x.right for x in scans.corrections(df).collect()} == {"докумепт": "документ"}
 
 
+def test_least_counts_do_not_grow(spark):
+    df = spark.createDataFrame([("s", "ЖУРНАЛ", 5, 0), ("s", "строка", 100_000_000, 100_000_000)], "kind string, a string, n long, m long")
+    assert "ЖУРНАЛ" in str(getattr(scans.headers(df), "collect", lambda: scans.headers(df))())
+
+
+def scan_corpus(spark):
+    plain = [(k, "docx", "Сотрудник архива получил документ. Почему справка в папке научно-технического бюро?", None, {"backend": "text"}) for k in range(60)]
+    pages = [f"ЖУРНАЛ УЧЁТА {n}\nСотрудник получил докумепт научно-\nтехнического бюро, а архи-\nва" for n in range(1, 7)]
+    rows = plain + [(100, "pdf", "\n\n".join(pages), pages, {"backend": "ocr"})]
+    rows += [(110 + k, "pdf", p.replace("ЖУРНАЛ", "ЖУРПАЛ"), None, {"backend": "text"}) for k, p in enumerate(pages)] + [(102, "tif", "Он взял доку-\nмепт", None, None)]
+    return spark.createDataFrame(rows, "result_id long, file_format string, text string, chunks array<string>, metadata map<string,string>")
+
+
+def test_headers_and_compounds_are_joined(spark, monkeypatch):
+    df = scan_corpus(spark).filter("result_id <> 102")
+    few = sorted(map(str, scans.repair(df).collect()))
+    monkeypatch.setattr(scans, "MAX_FIXES", 0)
+    monkeypatch.setattr(scans.Page, "misread", lambda self, word, fixes: None)
+    many = scans.repair(df).collect()
+    assert len(many) == len(few) == 7 and sum(f.kind == "header" for r in many for f in r.found) == 12
+    assert all("научно-технического" in " ".join(r.paragraphs) and "архива" in " ".join(r.paragraphs) for r in many)
+
+
 def test_many_fixes_are_joined(spark, monkeypatch):
     monkeypatch.setattr(scans, "MAX_FIXES", 0)
     rows = [(k, "docx", "получил документ", None, {"backend": "text"}) for k in range(30)] + [(100, "pdf", "получил докумепт", ["получил докумепт"], {"backend": "ocr"})]
