@@ -473,7 +473,17 @@ def repair(results: DataFrame) -> DataFrame:
     scans = rows.filter("scan > 0").select("result_id", "text", "chunks", "scan", "heads")
     scans = scans.withColumn("compounds", F.lit(None).cast("array<string>")) if compound is not None else with_compounds(scans, joined, heads)
     if table is None:
-        used = map_rows(scans.select("result_id", "text"), lambda: lambda i, t: [(i, w) for w in set(words_of(t))], "result_id bigint, wrong string")
+
+        def keys():
+            read = reader(heads)
+
+            def f(i, text, chunks, own):
+                # words broken at a line's end are looked up joined
+                return [(i, w) for w in {*words_of(text), *(left + right for left, right in read(own).broken(text, chunks))}]
+
+            return f
+
+        used = map_rows(scans.select("result_id", "text", "chunks", "heads"), keys, "result_id bigint, wrong string").distinct()
         per = used.join(fixes.select("wrong", "right"), "wrong").groupBy("result_id").agg(F.map_from_entries(F.collect_list(F.struct("wrong", "right"))).alias("fixes"))
         scans = scans.join(per, "result_id", "left")
     else:

@@ -293,6 +293,14 @@ def test_headers_and_compounds_are_joined(spark, monkeypatch):
     assert all("научно-технического" in " ".join(r.paragraphs) and "архива" in " ".join(r.paragraphs) for r in many)
 
 
+def test_joined_and_broadcast_evidence_agree(spark, monkeypatch):
+    df = scan_corpus(spark)
+    df = df.union(df.filter("result_id = 102"))
+    few = sorted(map(str, scans.repair(df).collect()))
+    monkeypatch.setattr(scans, "MAX_FIXES", 0)
+    assert sorted(map(str, scans.repair(df).collect())) == few and sum("Он взял документ" in r for r in few) == 2
+
+
 def test_many_fixes_are_joined(spark, monkeypatch):
     monkeypatch.setattr(scans, "MAX_FIXES", 0)
     rows = [(k, "docx", "получил документ", None, {"backend": "text"}) for k in range(30)] + [(100, "pdf", "получил докумепт", ["получил докумепт"], {"backend": "ocr"})]
