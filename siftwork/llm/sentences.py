@@ -1,30 +1,37 @@
 """Sentence units of texts in many scripts (problem 9), by document-centred disambiguation.
 
-Whether a full stop ends a sentence depends on the token before it and the word after it. Evidence is taken, in this order, from the
-document itself (the next word also occurs in lower case, hence a common word; or capitalised after a lower-case word, hence a
-name), then from corpus counts: words that follow unambiguous ends (`starters`), and tokens whose stop is followed by lower case or by
-words that aren't starters (`abbreviations`). Scripts without case use their own terminators: 。！？ for Chinese and Japanese, danda
-for Hindi, ؟ and a stop after a long token for Arabic, and for Thai the space between two Thai letters.
-
-Corpus counts cover every document. A word is kept if it makes up at least SHARE of all counted places, so that at most 1 / SHARE
-words of each kind exist whatever the size of the corpus; only these are sent to the workers.
-
-Defined cases: null, empty and blank texts have no units; repeated rows give repeated units; very long texts take linear time.
+Whether a full stop ends a sentence depends on the token before it and the word after it. Both are decided by the document's own
+unambiguous occurrences first: a token whose stop is followed by lower case or a comma elsewhere in the document is an abbreviation; a next word
+that also stands in lower case is a common word, one that is capitalised behind a lower-case word a name. Corpus counts come second: words
+that follow unambiguous ends (`starters`), and tokens whose stop is followed by lower case, figures or by words that aren't starters
+(`abbreviations`). A short token without a vowel is an abbreviation wherever it stands. Scripts without case use their own terminators: 。！？ for
+Chinese and Japanese, danda for Hindi (a full stop there marks abbreviations only), ؟ and a stop after a long token for Arabic, and for Thai the
+space between two Thai letters.
+
+Corpus counts cover every document and have fixed least counts. Up to MAX_WORDS words of evidence are sent to the workers; beyond that,
+each document is joined with the evidence on its own tokens.
+
+Defined cases: null, empty and blank texts have no units; repeated rows give repeated units; very long texts take linear time; a
+quotation is protected up to its paragraph's end, however long it is; a token of more than LONGEST characters is no abbreviation.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.util import map_batches
+from siftwork.util import checkpoint, map_batches, map_rows
 
-SHARE = 1e-5
-#: Prior knowledge for tokens that a corpus may show too rarely.
-SEED = set("г гг т д е п пп ч пр др стр см тыс млн млрд руб коп ок ул пер просп бул наб пл пос кв им св ред мес вып рис dr mr mrs ms prof st no nos sec cf vs vol fig e.g i.e approx inc ltd co corp abs nr art vgl bzw ca str z b d h u a s bd hrsg डॉ श्री د".split())
+#: How often starters and abbreviations must be seen at least.
+LEAST = 2
+#: How many words of corpus evidence are sent to the workers at most.
+MAX_WORDS = 200_000
+LONGEST = 64
 CLOSE = "\"'»”’“)\\]）」』】〉》›"
 UPPER = "A-ZА-ЯЁÀ-ÖØ-Þ"
 LETTERS = "[^\\W\\d_]"
@@ -33,20 +40,25 @@ _abbr = re.compile(rf"(?<![\w.@+\-])({LETTERS}{{1,6}}|\d+)\.(?:[ \n\xa0]{{1,2}}[
 _start = re.compile(rf"(?:\n\s*\n|^|[!?][»”\"“)]?[ \n]+|[a-zа-яёäöüß]{{4}}\.[ \n]+)[«“„\"(]?([{UPPER}]\w*)")
 _mid = re.compile(rf"[a-zа-яёäöüß0-9],?[ \n]([{UPPER}]\w*)")
 
+_within = lambda inner: f"(?:[^{inner}\\n]+|\\n(?!\\s*\\n))*+"
 _protect = re.compile(
-    "«(?:[^«»\\n]|\\n(?!\\s*\\n)){0,800}»|„(?:[^„“”\\n]|\\n(?!\\s*\\n)){0,800}[“”]|“(?:[^“”\\n]|\\n(?!\\s*\\n)){0,800}”"
-    "|(?<![\\w.,!?…])\"(?=\\S)(?:[^\"\\n]|\\n(?!\\s*\\n)){0,800}\"|「[^「」\\n]{0,800}」|『[^『』\\n]{0,800}』|（[^（）\\n]{0,800}）"
-    "|\\((?:[^()\\n]|\\n(?!\\s*\\n)){0,800}\\)"
+    f"«{_within('«»')}»|„{_within('„“”')}[“”]|“{_within('“”')}”|(?<![\\w.,!?…])\"(?=\\S){_within(chr(34))}\"|「[^「」\\n]*+」|『[^『』\\n]*+』|（[^（）\\n]*+）|\\({_within('()')}\\)"
 )
-_ends = re.compile(f"[.!?…。！？।॥؟]+[{CLOSE.replace('“', '')}]*|\\n|[\\u0e00-\\u0e7f][ \\xa0]+(?=[\\u0e00-\\u0e7f])")
-_token = re.compile(r"(\S*)$")
+_ends = re.compile(f"[.!?…。！？।॥؟]+[{CLOSE.replace('“', '')}]*|\\n\\s*|[\\u0e00-\\u0e7f][ \\xa0]+(?=[\\u0e00-\\u0e7f])")
+_last = re.compile(r"[\w.]*\Z")
+_visible = re.compile(r"\S")
+_chunk = re.compile(r"\S+")
+_vowel = re.compile("[aeiouyäöüаеёиоуыэюя]", re.I)
+_own_low = re.compile(r"(?<![\w.@+/-])([^\W\d_]\w*)(?![\w@+/-]|\.\w)")
+_own_mid = re.compile(r"[a-zа-яёäöüß],? (?=([^\W\d_]+)(?!\w))")
+_own_abbr = re.compile(rf"(?<![\w.@+\-])({LETTERS}{{1,6}})\.(?:,|[ \n\xa0]{{1,2}}(?=[a-zа-яёäöüß](?![{UPPER}])))")
 _list_mark = re.compile(r"[ \t]*(?:\d{1,3}[.)]|[-–—•*·]|[a-zа-я]\))\s")
 _next = re.compile(rf"\s*[«“„\"'(\[「『（]*({LETTERS}*)")
 _initial = re.compile(rf"[ \n\xa0]*{LETTERS}\.")
 #: Another short word with a stop and a figure: a chain of references.
 _chain = re.compile(rf"[ \n\xa0]*{LETTERS}{{1,5}}\. ?\d")
 _heading_rest = re.compile(r"[ \t]*[^\n.!?;:,]{1,40}(?:\n|\Z)")
-_hard = "!?。！？।॥؟"
+_devanagari = re.compile("[\\u0900-\\u097f]")
 _caseless = re.compile("[\\u0600-\\u06ff\\u0900-\\u097f\\u0e00-\\u0e7f\\u3040-\\u30ff\\u3400-\\u9fff]")
 
 
@@ -71,91 +83,156 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return part.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def evidence(docs: DataFrame, text: str = "text") -> tuple[frozenset, frozenset]:
-    """(starters, abbreviations) of a corpus; at most 1 / SHARE of each."""
+def evidence(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, word): the starters (s) and abbreviations (a) of a corpus."""
     c = counts(docs, text).persist()
     try:
-        total = {r.kind: r.n for r in c.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
         words = (
             c.filter("kind in ('s', 'm')").groupBy("a").agg(F.sum(F.when(F.col("kind") == "s", F.col("n"))).alias("s"), F.sum(F.when(F.col("kind") == "m", F.col("n"))).alias("m"))
-            .filter((F.col("s") >= max(2, SHARE * total.get("s", 0))) & (F.col("s") > 2 * F.coalesce("m", F.lit(0))))
+            .filter((F.col("s") >= LEAST) & (F.col("s") > 2 * F.coalesce("m", F.lit(0))))
         )
-        starters = frozenset(r.a for r in words.select("a").collect())
-        pairs = c.filter("kind = 'a'").join(F.broadcast(words.select(F.col("a").alias("b"), F.lit(1).alias("starter"))), "b", "left")
+        pairs = c.filter("kind = 'a'").join(words.select(F.col("a").alias("b"), F.lit(1).alias("starter")), "b", "left")
         lower = (F.col("b") == ",") | F.col("b").rlike("^\\p{Ll}(?!\\p{Lu})")
         by = pairs.groupBy("a").agg(
             F.sum("n").alias("n"),
             F.sum(F.when(lower, F.col("n")).otherwise(0)).alias("low"),
             F.sum(F.when(~lower & F.col("starter").isNull() & (F.upper(F.substring("b", 1, 1)) != F.lower(F.substring("b", 1, 1))), F.col("n")).otherwise(0)).alias("name"),
+            F.sum(F.when(F.col("b") == "0", F.col("n")).otherwise(0)).alias("figure"),
         )
-        by = by.join(c.filter("kind = 'a' and b = '0'").select("a", F.col("n").alias("figure")), "a", "left").fillna(0, ["figure"])
-        abbr = by.filter((F.col("n") >= max(2, SHARE * total.get("a", 0))) & ((F.col("low") >= 0.05 * F.col("n")) | (F.col("name") >= 0.5 * F.col("n")) & (F.col("n") >= 5) & (F.length("a") <= 4) | (F.col("figure") >= 0.5 * F.col("n"))))
+        abbr = by.filter((F.col("n") >= LEAST) & ((F.col("low") >= 0.05 * F.col("n")) | (F.col("name") >= 0.5 * F.col("n")) & (F.col("n") >= 5) & (F.length("a") <= 4) | (F.col("figure") >= 0.5 * F.col("n"))))
         # words in capitals throughout are emphasis
-        return starters, frozenset(r.a for r in abbr.filter(~F.col("a").rlike("^\\p{Lu}{3,}$")).select("a").collect())
+        abbr = abbr.filter(~F.col("a").rlike("^\\p{Lu}{3,}$"))
+        return checkpoint(words.select(F.lit("s").alias("kind"), F.col("a").alias("word")).union(abbr.select(F.lit("a"), F.col("a"))))
     finally:
         c.unpersist()
 
 
+def with_own(docs: DataFrame, known: DataFrame, text: str) -> DataFrame:
+    """Adds starters and abbreviations: the part of the corpus's evidence that a document may ask for. Equal texts ask once."""
+
+    def asked(key, t):
+        out = set()
+        for m in _ends.finditer(t):
+            if m[0][0] == ".":
+                i = at = m.start()
+                while i and at - i <= LONGEST and not t[i - 1].isspace():
+                    i -= 1
+                token = own_token(t[i:at])
+                parts = token.split(".")
+                out |= {("a", x) for k in range(len(parts)) for y in (".".join(parts[k:]),) for x in (y, y.lower())}
+                out.add(("s", _next.match(t, m.end())[1]))
+        return [(key, k, x) for k, x in out if x]
+
+    keyed = docs.withColumn("_key", F.md5(text))
+    used = map_rows(keyed.filter(F.length(text) > 0).select("_key", text).dropDuplicates(["_key"]), lambda: asked, "_key string, kind string, word string")
+    per = used.join(known, ["kind", "word"]).groupBy("_key").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("word"))).alias(n) for k, n in (("s", "starters"), ("a", "abbreviations"))])
+    return keyed.join(per, "_key", "left").drop("_key")
+
+
 def lower(word: str) -> bool:
     """Begins in lower case, unlike iScan."""
     return word[:1].islower() and not word[1:2].isupper()
 
 
+def own_token(chunk: str) -> str:
+    """The end of a chunk that may be an abbreviation."""
+    token = chunk.lstrip("«“„\"'([（「")
+    k = len(token)
+    while k and (token[k - 1].isalnum() or token[k - 1] in ".\u0301" or "\u0900" <= token[k - 1] <= "\u097f"):
+        k -= 1
+    return token[k:]
+
+
+class Own:
+    """What a document's own unambiguous places say, each read in one pass when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def common(self) -> set[str]:
+        """Words that stand in lower case."""
+        return {w for w in _own_low.findall(self.text) if w[0].islower()}
+
+    @cached_property
+    def names(self) -> set[str]:
+        """Words that stand behind a lower-case word as they are."""
+        return set(_own_mid.findall(self.text))
+
+    @cached_property
+    def abbreviations(self) -> set[str]:
+        return set(_own_abbr.findall(self.text))
+
+    @cached_property
+    def chunks(self) -> tuple[list[int], list[tuple[bool, int]]]:
+        """(starts, (has @, first / or _)) of the chunks with any of these, between white space."""
+        starts, what = [], []
+        if "@" in self.text or "/" in self.text or "_" in self.text:
+            for m in _chunk.finditer(self.text):
+                c = m[0]
+                if "@" in c or "/" in c or "_" in c:
+                    starts.append(m.start())
+                    what.append((m.end(), "@" in c, m.start() + min(k for k in (c.find("/"), c.find("_"), len(c)) if k >= 0)))
+        return starts, what
+
+    def address(self, at: int) -> bool:
+        """Does place `at` lie in an address or behind a slash or underscore of its chunk?"""
+        starts, what = self.chunks
+        k = bisect_right(starts, at) - 1
+        return k >= 0 and at < what[k][0] and (what[k][1] or what[k][2] < at)
+
+
 class Splitter:
     """Cuts one text; starters and abbreviations come from evidence()."""
 
-    def __init__(self, starters: frozenset = frozenset(), abbreviations: frozenset = frozenset()):
-        self.starters, self.abbr = starters, abbreviations | SEED
+    def __init__(self, starters=frozenset(), abbreviations=frozenset()):
+        self.starters, self.abbr = frozenset(starters), frozenset(abbreviations)
 
-    def common(self, word: str, text: str) -> bool | None:
+    def common(self, word: str, own: Own) -> bool | None:
         """Is the capitalised word a common one? The document's own evidence first, then the corpus's; None: unknown."""
         low = word.lower()
-        if low != word and low in text and re.search(rf"(?<![\w.@+/-]){re.escape(low)}(?![\w@+/-]|\.\w)", text):
+        if low != word and low in own.common:
             return True
         if word in self.starters:
             return True
-        if f" {word}" in text and re.search(rf"[a-zа-яёäöüß],? {re.escape(word)}(?!\w)", text):
-            return False
-        return None
+        return False if word in own.names else None
 
-    def is_abbreviation(self, token: str) -> bool:
+    def is_abbreviation(self, token: str, own: Own) -> bool:
+        """The form decides for single letters, dotted pairs and short tokens without a vowel; then the document, then the corpus."""
         if len(token) == 1 and token.isalpha():
             return True
-        return token in self.abbr or token.lower() in self.abbr or ("." in token and all(len(x) <= 2 for x in token.split(".")))
+        if "." in token and all(len(x) <= 2 for x in token.split(".")):
+            return True
+        if 1 < len(token) <= 4 and token.isalpha() and not token[1:].isupper() and not _vowel.search(token) and not _caseless.match(token):
+            return True
+        return token in own.abbreviations or token in self.abbr or token.lower() in self.abbr
 
-    def stop(self, s: str, at: int, begin: int, glued: bool, nxt: str) -> bool:
+    def stop(self, s: str, at: int, begin: int, glued: bool, nxt: str, own: Own) -> bool:
         """Does the full stop at `at` end a sentence, the next word being nxt?"""
+        if glued and own.address(at):
+            return False
         i = at
-        while i > begin and not s[i - 1].isspace():
+        while i > begin and at - i <= LONGEST and not s[i - 1].isspace():
             i -= 1
         chunk = s[i:at]
-        token = chunk.lstrip("«“„\"'([（「")
-        if glued:
-            j = at + 1
-            while j < len(s) and not s[j].isspace():
-                j += 1
-            if "@" in s[i:j] or "/" in chunk or "_" in chunk:
-                return False
-        k = len(token)
-        while k and (token[k - 1].isalnum() or token[k - 1] in ".\u0301" or "\u0900" <= token[k - 1] <= "\u097f"):
-            k -= 1
-        token = token[k:]
+        token = own_token(chunk)
+        alone = len(token) == len(chunk.lstrip("«“„\"'([（「"))
         first = nxt[:1]
         if len(token) == 1 and len(nxt) == 1 and _initial.match(s, at + 1):
             return False  # И. о., Z. B., two initials
         if (token.isdigit() or len(token) == 1) and _heading_rest.match(s, at + 1) and at - begin < 30 and (begin == 0 or "\n" in s[max(0, begin - 2) : begin + 1]):
             return False  # a heading with its number
-        if _caseless.match(token[-1:] or " "):
-            return not self.is_abbreviation(token) and len(token) > 2
+        if token and _caseless.match(token[-1]):
+            return not _devanagari.match(token[-1]) and not self.is_abbreviation(token, own) and len(token) > 2
         if token[-1:].isdigit():
-            digits = token.isdigit() and len(token) <= 2 and k == 0
+            digits = token.isdigit() and len(token) <= 2 and alone
             if not digits:
                 return True
-            return not first or bool(self.common(nxt, s)) or bool(_caseless.match(first))
-        if self.is_abbreviation(token):
+            return not first or bool(self.common(nxt, own)) or bool(_caseless.match(first))
+        if self.is_abbreviation(token, own):
             if not first or _chain.match(s, at + 1):
                 return False
-            return bool(self.common(nxt, s))
+            return bool(self.common(nxt, own))
         return True
 
     def ends(self, s: str) -> list[int]:
@@ -163,6 +240,7 @@ class Splitter:
         spans = [(m.start(), m.end()) for m in _protect.finditer(s)]
         k, begin, n = 0, 0, len(s)
         width, wrapped = self.layout(s)
+        own = Own(s)
         for m in _ends.finditer(s):
             at, end = m.span()
             if end <= begin:
@@ -205,7 +283,7 @@ class Splitter:
             following = s[j : j + 1]
             # a line's end in a hard-wrapped text is no more than a space
             newline = "\n" in s[end:j] and (not wrapped or self.para(s, end, j))
-            if inner and opened > begin and s[begin:opened].strip() and s[spans[k][0]] in "(（" :
+            if inner and opened > begin and s[opened] in "(（" and _visible.search(s, begin, opened):
                 continue  # brackets within a sentence
             if not newline and following and following in ",;:—–-…)»”":
                 continue
@@ -215,13 +293,13 @@ class Splitter:
                 if nxt and not nxt[0].isupper() and not newline:
                     continue
             elif m[0][0] == ".":
-                if at == begin or _list_mark.match(s, begin) and s[begin:at].strip().isdigit():
+                if at == begin or (mark := _list_mark.match(s, begin)) and mark.end() > at:
                     continue
                 if s[at - 1 : at].isdigit() and s[end : end + 1].isdigit():
                     continue
-                if j < n and not self.para(s, end, j) and not self.stop(s, at, begin, end == j, nxt):
+                if j < n and not self.para(s, end, j) and not self.stop(s, at, begin, end == j, nxt, own):
                     continue
-                if following.isdigit() and not newline and self.is_abbreviation(re.search(r"[\w.]*$", s[begin:at])[0]):
+                if following.isdigit() and not newline and self.is_abbreviation(_last.search(s, max(begin, at - LONGEST), at)[0], own):
                     continue
             if inner and s[opened] not in "(（" and nxt and _caseless.match(nxt) and not newline:
                 continue  # the sentence goes on behind a quotation, or its speaker follows
@@ -255,8 +333,7 @@ class Splitter:
 
     def line_end(self, s: str, at: int, begin: int, width: int, wrapped: bool) -> bool:
         """Does the line end at `at`, without an end mark before it, separate units?"""
-        before = s[begin:at]
-        if not before.strip():
+        if not _visible.search(s, begin, at):
             return False
         j = at + 1
         while j < len(s) and s[j] in " \t\xa0\r":
@@ -302,15 +379,20 @@ class Splitter:
 
 def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """(key, start_pos, end_pos, sentence) of every unit; without its text if not wanted."""
-    starters, abbreviations = evidence(docs, text)
+    known = evidence(docs, text)
+    few = known.limit(MAX_WORDS + 1).collect()
+    one = len(few) <= MAX_WORDS
+    words = [frozenset(r.word for r in few if r.kind == k) for k in "sa"] if one else None
+    docs = docs.select(key, text)
+    rows = docs if one else with_own(docs, known, text).select(key, text, "starters", "abbreviations")
 
     def make():
-        p = Splitter(starters, abbreviations)
+        p = Splitter(*words) if one else None
 
-        def f(ids, texts):
+        def f(ids, texts, *own):
             keys, first, last, units = [], [], [], []
-            for i, t in zip(ids, texts):
-                u = p.units(t)
+            for n, (i, t) in enumerate(zip(ids, texts)):
+                u = (p or Splitter(own[0][n] or (), own[1][n] or ())).units(t)
                 keys += [i] * len(u)
                 first += [a for a, _ in u]
                 last += [b for _, b in u]
@@ -320,4 +402,4 @@ def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
         return f
 
-    return map_batches(docs.select(key, text), make, f"{key} {dict(docs.dtypes)[key]}, start_pos int, end_pos int" + ", sentence string" * with_text)
+    return map_batches(rows, make, f"{key} {dict(docs.dtypes)[key]}, start_pos int, end_pos int" + ", sentence string" * with_text)

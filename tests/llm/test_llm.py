@@ -99,6 +99,39 @@ def test_sentences_table(spark):
     assert sentences.split_sentences(df.limit(0)).count() == 0
 
 
+def test_long_quotations_are_protected():
+    for n in (10, 90, 2000):
+        text = "Он сказал: «" + "Это так. " * n + "», и ушёл. Потом пришёл другой."
+        assert len(S.units(text)) == 2, n
+
+
+def test_abbreviations_of_the_document():
+    plain = sentences.Splitter()
+    assert len(plain.units("Принесли экз. Тарлыкина и копию.")) == 2
+    assert len(plain.units("Принесли экз. Тарлыкина и копию. Второй экз. остался у Тарлыкина.")) == 2
+    assert len(plain.units("Er traf Dr. Weber dort. Das war am Mittwoch.")) == 2
+
+
+def test_sentences_take_linear_time():
+    import time
+
+    text = "Он пришёл в 2009 г. Москва ждёт, т. е. слово Слово и дело. Запись верна (см. п. 4). "
+    for t in (text * 60_000, "слово " * 800_000, "\n" * 3_000_000, "«" + "слово. " * 300_000):
+        at = time.process_time()
+        S.units(t)
+        assert time.process_time() - at < 30
+
+
+def test_joined_and_sent_words_agree(spark, monkeypatch):
+    docs = [(k, f"Взяли экз. Тарлыкина {k}. Запись верна. Почему экз. пропал? Запись цела. См. табл. {k} и экз. Тарлыкина. «Опись. Дело.» Конец.") for k in range(30)]
+    docs += [(50, "Взяли экз. Тарлыкина. Запись верна."), (51, None), (52, ""), (None, "Взяли экз. Тарлыкина. Запись верна."), (50, "Взяли экз. Тарлыкина. Запись верна.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("starters", F.lit(1))
+    few = sorted(map(str, sentences.split_sentences(df).collect()))
+    monkeypatch.setattr(sentences, "MAX_WORDS", 0)
+    assert sorted(map(str, sentences.split_sentences(df).collect())) == few
+    assert sum("Взяли экз. Тарлыкина.'" in r for r in few) == 3
+
+
 # ---------------------------------------------------------------- leakage
 
 ITEMS = [
