@@ -27,10 +27,9 @@ def spread(df: DataFrame) -> DataFrame:
     Only the scan's own number of partitions is looked at; no job runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # a plan that can't be an RDD, e.g. a stream
+    if df.isStreaming:
         return df
+    parts = df.rdd.getNumPartitions()
     return df.repartition(cores) if parts < cores else df
 
 
@@ -91,7 +90,7 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", salt
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder of spark.checkpoint.dir; a local folder is set only where none is configured."""
+    """Cuts lineage in the shared folder of spark.checkpoint.dir; a local folder is set only on a single machine without one."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
@@ -99,8 +98,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder that all executors see; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "siftwork")
+    """A folder that all executors see: below spark.checkpoint.dir, or a local one where the only machine is this one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "siftwork")
     return f"{base.rstrip('/')}/{name}"
 
 
