@@ -1,16 +1,20 @@
 """Mixing sources to target weights (problem 8), by soft membership.
 
 1. Every document's tokens are counted by a public tokenizer whose file is a parameter.
-2. A classifier fitted on at most about TRAIN_ROWS labelled rows (naive Bayes over hashed tokens) predicts each document's domain; the
-   document's own label, where it has one, keeps the share TRUST of its membership.
-3. Nonnegative rates of the documents, at most their source's max_repeats, are fitted by projected gradient steps on the squared
-   difference between the expected tokens of each domain and its target. A rate is the projection of its memberships weighted by
-   one number per domain, so a step is one pass that adds up a small matrix among domains, whatever the number of documents.
+2. A naive Bayes classifier, fitted on the labelled table, predicts each document's domain. Its features are the document's source
+   tag, if it has one, and its tokens (hashed); their counts come from at most TRAIN_ROWS rows, an equal part of every domain. The weight of the tokens
+   beside the tag is the one that predicts the other half of these rows best, so text that tells nothing gets none.
+3. Nonnegative rates of the documents, at most their source's max_repeats, start at zero and are fitted by projected gradient steps on the
+   squared differences between the expected tokens of the domains and their targets. A step adds to a rate its memberships times the domains'
+   misses, over the tokens of the domains it belongs to (with this scale, no step overshoots), so the rates follow from the misses of all steps
+   so far: a pass over the documents replays these and adds up a few numbers per domain, and no rate is stored.
 4. Rates become whole repeats by a hash of the document's id, so that expected sizes are kept.
 
+A source can't reach its share if the fitted expected tokens and the room that its documents' bounds leave stay below the target.
+
 Domains are the sources named by the mixtures, and one for all others: a fixed table, hence no more than a few arrays at the driver.
 
-Defined cases: null and empty texts have no tokens; documents of unknown source belong to domains by the classifier alone and are used in
+Defined cases: null and empty texts have no tokens; documents of unknown source belong to domains by their text alone and are used in
 no mixture (they have no repeat limit); sources without documents reach nothing; a mixture with no target gives no rows.
 """
 
@@ -26,13 +30,13 @@ from pyspark.sql import functions as F
 from siftwork.util import checkpoint, map_batches
 
 TRAIN_ROWS = 5_000
-TRUST = 0.98
 BUCKETS = 4_096
-#: A share counts as reached within this relative distance.
-TOLERANCE = 0.02
-STEPS = 16
-#: Damping of the steps, as a share of all tokens.
-RIDGE = 1e-4
+#: Pseudo-documents of every tag in every domain, and pseudo-tokens of every bucket.
+TAG_PRIOR, TOKEN_PRIOR = 0.01, 0.5
+#: Weights of the tokens that are tried.
+WEIGHTS = (0.0, 1 / 64, 1 / 16, 1 / 4, 1.0)
+#: Most steps, and the change of expected tokens, relative to the targets, below which they end.
+STEPS, ENOUGH = 40, 1e-6
 #: Folder of the public tokenizers' files and the one used; both can be set by the caller.
 TOKENIZERS = os.environ.get("SIFTWORK_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -49,41 +53,83 @@ def tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def fit_classifier(docs: DataFrame, domains: list[str], path: str) -> np.ndarray:
-    """log P(bucket | domain) - log P(bucket) and, last, log P(domain), from a bounded sample of labelled rows, the last row for all other sources."""
-    total = docs.count()
-    part = min(1.0, TRAIN_ROWS / max(total, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * part)) if part < 1 else docs
+class Classifier:
+    """Posteriors of the domains, the last one for all other sources."""
+
+    def __init__(self, domains: list[str], documents: np.ndarray, tokens: np.ndarray, weight: float = 1.0):
+        n = len(domains) + 1
+        self.where = {d: k for k, d in enumerate(domains)}
+        p = tokens + TOKEN_PRIOR
+        self.words = (np.log(p / p.sum(1, keepdims=True)) - np.log(p.sum(0) / p.sum())).astype(np.float32)
+        self.prior = np.log((documents + TAG_PRIOR) / (documents.sum() + n * TAG_PRIOR))
+        tag = np.full((n, n), TAG_PRIOR) + np.diag(documents)
+        self.tag = np.log(tag / tag.sum(1, keepdims=True))
+        self.weight = weight
+
+    def domain(self, source: str) -> int:
+        return self.where.get(source, len(self.where))
+
+    def log_posterior(self, tokens: np.ndarray, source: str | None, weight: float) -> np.ndarray:
+        s = self.prior + weight * self.words[:, tokens % BUCKETS].sum(1)
+        if source is not None:
+            s = s + self.tag[:, self.domain(source)]
+        s = s - s.max()
+        return s - np.log(np.exp(s).sum())
+
+    def posterior(self, tokens: np.ndarray, source: str | None) -> np.ndarray:
+        return np.exp(self.log_posterior(tokens, source, self.weight))
+
+
+def fit_classifier(docs: DataFrame, domains: list[str], path: str) -> Classifier:
+    """Tags from all rows, tokens from a sample: of every domain an equal part of TRAIN_ROWS, half to count and half to choose the tokens' weight."""
+    domain = F.when(F.col("source").isin(domains), F.col("source")) if domains else F.lit(None).cast("string")
+    n = {r.d: r.n for r in docs.filter("source is not null").groupBy(domain.alias("d")).agg(F.count("*").alias("n")).collect()}
+    documents = np.array([float(n.get(d, 0)) for d in [*domains, None]])
+    quota = TRAIN_ROWS // len(documents)
+    parts = {d: min(1.0, quota / k) for d, k in n.items()}
+    chosen = F.lit(False)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    for d, part in parts.items():
+        chosen = chosen | ((F.col("source") == d if d is not None else domain.isNull()) & (place < int(1_000_000 * part)))
+    sample = docs.filter(F.col("source").isNotNull() & chosen).select("source", "text", F.pmod(F.hash("doc_id"), F.lit(2)).alias("half"))
     where = {d: k for k, d in enumerate(domains)}
 
-    def make():
+    def count():
         encode = tokenizer(path)
 
-        def f(sources, texts):
-            n = np.zeros((len(domains) + 1) * BUCKETS, np.int64)
-            for s, t in zip(sources, texts):
-                if t:
-                    n += np.bincount(np.array(encode(t)) % BUCKETS + where.get(s, len(domains)) * BUCKETS, minlength=len(n))
-            k = np.flatnonzero(n)
-            return [k, n[k]]
+        def f(sources, texts, half):
+            x = [np.array(encode(t), np.int64) % BUCKETS + where.get(s, len(where)) * BUCKETS for s, t, h in zip(sources, texts, half) if t and h == 0]
+            k, n = np.unique(np.concatenate(x), return_counts=True) if x else ([], [])
+            return [k, n]
+
+        return f
+
+    tokens = np.zeros((len(domains) + 1) * BUCKETS)
+    for r in map_batches(sample, count, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        tokens[r.k] = r.n
+    c = Classifier(domains, documents, tokens.reshape(-1, BUCKETS))
+
+    def judge():
+        encode = tokenizer(path)
+
+        def f(sources, texts, half):
+            total = np.zeros(len(WEIGHTS))
+            for s, t, h in zip(sources, texts, half):
+                if t and h == 1:
+                    x = np.array(encode(t), np.int64)
+                    total += [c.log_posterior(x, None, w)[c.domain(s)] for w in WEIGHTS]
+            return [list(range(len(WEIGHTS))), total]
 
         return f
 
-    rows = map_batches(sample.filter("source is not null").select("source", "text"), make, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    n = np.full((len(domains) + 1) * BUCKETS, 0.5)
-    for r in rows:
-        n[r.k] += r.n
-    n = n.reshape(len(domains) + 1, BUCKETS)
-    p = n / n.sum(1, keepdims=True)
-    prior = (n.sum(1) - 0.5 * BUCKETS + 1) / (n.sum() - n.size * 0.5 + len(n))
-    # the prior stands in every bucket's row end: one more column, used once per document
-    return np.hstack([np.log(p) - np.log(n.sum(0) / n.sum()), np.log(prior)[:, None]]).astype(np.float32)
+    fits = {r.k: r.x for r in map_batches(sample, judge, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()}
+    c.weight = WEIGHTS[max(fits, key=lambda k: (fits[k], -k))] if fits else 0.0
+    return c
 
 
-def memberships(docs: DataFrame, domains: list[str], path: str, trust: float = TRUST) -> DataFrame:
+def memberships(docs: DataFrame, domains: list[str], path: str) -> DataFrame:
     """(doc_id, source, tokens, member array<float>) of every document; member's last place is for other sources."""
-    weights = fit_classifier(docs, domains, path)
-    where = {d: k for k, d in enumerate(domains)}
+    c = fit_classifier(docs, domains, path)
 
     def make():
         encode = tokenizer(path)
@@ -93,13 +139,7 @@ def memberships(docs: DataFrame, domains: list[str], path: str, trust: float = T
             for s, t in zip(sources, texts):
                 x = np.array(encode(t or ""), np.int64)
                 tokens.append(len(x))
-                score = weights[:, x % BUCKETS].sum(1) + weights[:, BUCKETS]
-                p = np.exp(score - score.max())
-                p /= p.sum()
-                if s is not None:
-                    p *= 1 - trust
-                    p[where.get(s, len(domains))] += trust
-                member.append(p.tolist())
+                member.append(c.posterior(x, s).tolist())
             return [ids, sources, tokens, member]
 
         return f
@@ -109,7 +149,7 @@ def memberships(docs: DataFrame, domains: list[str], path: str, trust: float = T
 
 
 class Mix:
-    """One mixture's targets on the domains."""
+    """One mixture's targets on the domains, and the steps taken so far."""
 
     def __init__(self, name: str, rows: list, domains: list[str], total: int):
         self.name = name
@@ -121,27 +161,30 @@ class Mix:
             self.target[k] += r.target_share * r.budget_ratio * total
             self.cap[r.source] = float(r.max_repeats)
             self.inside[k] = True
-        self.weight = np.zeros(len(domains) + 1)
-        #: The weight at which every document of a domain is at its limit.
-        self.most = np.array([self.cap.get(d, 0.0) for d in domains] + [0.0]) / TRUST
+        self.steps: list[np.ndarray] = []
+        self.expected = np.zeros(len(domains) + 1)
+        self.room = np.zeros(len(domains) + 1)
+        self.all_of = np.zeros(len(domains) + 1)
+        self.done = False
 
     def rates(self, sources: list[str | None], member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rates, which aren't at a bound): memberships weighted, projected onto [0, max_repeats]."""
-        cap = np.array([self.cap.get(s, 0.0) for s in sources])
-        r = member @ self.weight
-        return np.clip(r, 0, cap), (r > 0) & (r < cap)
+        """(rates, their limits): every step goes down the gradient and projects onto [0, max_repeats].
 
+        With steps scaled by 1 / (memberships x tokens of the domains) the curvature is at most 1, by Cauchy's inequality.
+        """
+        cap = np.array([self.cap.get(s, 0.0) for s in sources])
+        r = np.zeros(len(cap))
+        if self.steps:
+            scale = 1 / np.maximum(member @ self.all_of, 1e-9)
+            for g in (member @ np.array(self.steps).T).T:
+                np.clip(r + scale * g, 0, cap, out=r)
+        return r, cap
 
-def fit_rates(members: DataFrame, mixes: list[Mix], total: int) -> list[Mix]:
-    """Projected gradient steps on half the squared misses of the domains' expected tokens.
 
-    The gradient of a rate is its memberships times the domains' misses, so a step moves one weight per domain. It is scaled by the
-    curvature among domains, damped by RIDGE of all tokens; what comes back from a pass is that small matrix.
-    """
-    if not mixes:
-        return mixes
-    ridge = RIDGE * max(total, 1)
-    for _ in range(STEPS):
+def fit_rates(members: DataFrame, mixes: list[Mix]) -> list[Mix]:
+    """Projected gradient descent from zero. What comes back from a pass is, per mixture and domain, the expected tokens under the rates and
+    the room that the limits leave."""
+    for _ in range(STEPS if mixes else 0):
 
         def make(mixes=mixes):
             def f(sources, tokens, member):
@@ -149,36 +192,25 @@ def fit_rates(members: DataFrame, mixes: list[Mix], total: int) -> list[Mix]:
                 t = np.array(tokens, np.float64)
                 out = []
                 for k, m in enumerate(mixes):
-                    r, free = m.rates(sources, a)
-                    reached = a.T @ (r * t)
-                    curve = (a * (t * free)[:, None]).T @ a
-                    out += [(k, int(d), -1, float(reached[d])) for d in np.flatnonzero(m.inside)]
-                    out += [(k, int(d), int(e), float(curve[d, e])) for d in np.flatnonzero(m.inside) for e in np.flatnonzero(m.inside)]
-                return [list(c) for c in zip(*out)]
+                    r, cap = m.rates(sources, a)
+                    got, room, all_of = a.T @ (r * t), a.T @ ((cap - r) * t), a.T @ (t * (cap > 0))
+                    out += [(k, int(d), float(got[d]), float(room[d]), float(all_of[d])) for d in np.flatnonzero(m.inside)]
+                return [list(c) for c in zip(*out)] if out else [[]] * 5
 
             return f
 
-        sums = map_batches(members.select("source", "tokens", "member"), make, "mix int, d int, e int, x double").groupBy("mix", "d", "e").agg(F.sum("x").alias("x")).collect()
-        done = True
+        sums = map_batches(members.select("source", "tokens", "member"), make, "mix int, d int, got double, room double, all_of double").groupBy("mix", "d").agg(*[F.sum(c).alias(c) for c in ("got", "room", "all_of")]).collect()
         for k, m in enumerate(mixes):
-            n = len(m.weight)
-            reached, curve = np.zeros(n), np.zeros((n, n))
-            for r in sums:
-                if r.mix == k and r.e < 0:
-                    reached[r.d] = r.x
-                elif r.mix == k:
-                    curve[r.d, r.e] = r.x
-            i = np.flatnonzero(m.inside)
-            # a domain all of whose documents are at their limit gets no further weight
-            miss = np.where(m.inside, m.target - reached, 0.0)
-            miss[(m.weight >= m.most - 1e-9) & (miss > 0)] = 0.0
-            if np.abs(miss).max(initial=0) < 1e-3 * m.target.sum():
+            if m.done:
                 continue
-            done = False
-            i = np.flatnonzero(miss)
-            m.weight[i] += np.linalg.solve(curve[np.ix_(i, i)] + ridge * np.eye(len(i)), miss[i])
-            m.weight = np.clip(m.weight, 0, m.most)
-        if done:
+            before = m.expected.copy()
+            for r in sums:
+                if r.mix == k:
+                    m.expected[r.d], m.room[r.d], m.all_of[r.d] = r.got, r.room, r.all_of
+            m.done = bool(m.steps) and np.abs(m.expected - before).max(initial=0) <= ENOUGH * m.target.sum()
+            if not m.done:
+                m.steps.append(np.where(m.inside, m.target - m.expected, 0.0))
+        if all(m.done for m in mixes):
             break
     return mixes
 
@@ -188,19 +220,14 @@ def prepare(docs: DataFrame, targets: DataFrame, path: str | None = None) -> tup
     rows = targets.orderBy("mix_name", "source").collect()  # a fixed table of mixtures
     domains = sorted({r.source for r in rows if r.source is not None})
     members = checkpoint(memberships(docs, domains, path or os.path.join(TOKENIZERS, TOKENIZER)))
-    by_source = {r.source: r.n for r in members.groupBy("source").agg(F.sum("tokens").alias("n")).filter(F.col("source").isin(domains)).collect()}
     total = members.agg(F.sum("tokens").alias("n")).first().n or 0
     mixes = [Mix(name, [r for r in rows if r.mix_name == name and r.source is not None], domains, total) for name in sorted({r.mix_name for r in rows})]
-    for m in mixes:
-        for k, d in enumerate(domains):
-            if m.inside[k]:  # where a source alone stands for its domain, this is the answer
-                m.weight[k] = min(m.most[k], m.target[k] / max(by_source.get(d, 0), 1))
-    return members, fit_rates(members, mixes, total), domains, total
+    return members, fit_rates(members, mixes), domains, total
 
 
 def mixture(docs: DataFrame, targets: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """((mix_name, doc_id, source, tokens, rate, repeats), (mix_name, source, target_share, budget_ratio, max_repeats, target_tokens, expected_tokens, tokens, available_tokens, reached_share, capped))."""
-    members, mixes, domains, total = prepare(docs, targets, path)
+    members, mixes, _, total = prepare(docs, targets, path)
     kind = dict(docs.dtypes)["doc_id"]
 
     def make():
@@ -233,7 +260,8 @@ def mixture(docs: DataFrame, targets: DataFrame, path: str | None = None) -> tup
 
 
 def unreachable(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
-    """(mix_name, source) whose fitted rates leave their target short, confirmed by the tokens that all repeats together would give."""
-    _, shares = mixture(docs, targets, path)
-    short = F.col("expected_tokens") < (1 - TOLERANCE) * F.col("target_tokens")
-    return shares.filter(short & (F.col("available_tokens") * F.col("max_repeats") < F.col("target_tokens"))).select("mix_name", "source")
+    """(mix_name, source) whose expected tokens, with all the room that the limits leave, stay below their target."""
+    _, mixes, domains, _ = prepare(docs, targets, path)
+    short = [(m.name, d) for m in mixes for k, d in enumerate(domains) if m.inside[k] and m.expected[k] + m.room[k] < m.target[k]]
+    # a part of the fixed table of targets
+    return docs.sparkSession.createDataFrame(short, f"mix_name {dict(targets.dtypes)['mix_name']}, source {dict(targets.dtypes)['source']}")
