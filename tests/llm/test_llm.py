@@ -175,6 +175,23 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
 
 
+def test_blocks_hot_grams_and_parts_change_nothing(spark, monkeypatch):
+    """Items that share an instruction; a document with that alone leaks nothing, however the items are cut."""
+    told = "Прочитайте отрывок из дела внимательно до самого конца и ответьте на вопрос, который стоит под ним, не глядя в другие листы. "
+    own = [" ".join(f"{a}{w}" for w in "хранилище нашло четыре накладных листа без ярлыка вслепую пока сторож спал крепко рядом с архивом".split()) for a in ("пере", "недо", "сверх", "обо", "под", "за")]
+    items = spark.createDataFrame([(k, told + t + ".") for k, t in enumerate(own)], "item_id long, text string")
+    docs = [(1, told), (2, told * 300), (3, told + own[2]), (4, "Дело. " + own[4] + " Конец. " + told * 50 + own[1]), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(3, 2), (4, 1), (4, 4)]
+    rows = lambda: sorted(tuple(r) for r in leakage.leaks(df, items).collect())
+    assert rows() == want
+    for name, value in (("ITEM_BLOCK", 2), ("HOT", 2), ("POSTINGS", 500)):
+        monkeypatch.setattr(leakage, name, value)
+    assert rows() == want
+    index = leakage.Index([(k, told + t, [" ".join(leakage.words(told))]) for k, t in enumerate(own)])
+    assert sorted(index.search([(d, t) for d, t in docs if t])) == [(2, 2), (3, 1), (3, 4)]
+
+
 # ---------------------------------------------------------------- uniform text
 
 
