@@ -1,11 +1,11 @@
 """Noise in text from scanned pages (problem 3): broken words, misread characters, running headers and page numbers.
 
-* Word counts cover every text. Misread words are found in SQL by anagram hashes: the hash of a word is the sum of the fifth powers
-  of its characters, so replacing a character changes it by a difference that depends on nothing else. Words that stand (almost) in scans alone are
-  joined with frequent words at the differences of the confusable pairs, then compared place by place; corrections are ranked by
-  frequency.
-* Running headers are edge lines whose shape (numbers as #) stands at page edges throughout the corpus and hardly inside pages, or at the
-  same edge of several pages of a document. Headers with a misread character are matched to these.
+* Word counts cover every text. Misread words are found in SQL by anagram hashes: the hash of a word is the sum of its characters' fifth
+  powers (modulo a prime), so replacing a character changes it by a difference that depends on nothing else. Words that stand (almost) in scans
+  alone are joined with frequent words at the differences of one or two confusable pairs, then compared place by place; corrections are
+  ranked by the number of replaced characters and by frequency. No word is misread without such a frequent variant.
+* Running headers are edge lines of at most HEADER characters whose shape (numbers as #) stands at page edges throughout the corpus and hardly
+  inside pages, or at the same edge of several pages of a document. Headers with misread characters are found by the same join.
 * A word broken at a line's end is joined if the corpus knows the joined word better than the hyphenated one.
 
 Corrections, compounds and header shapes are broadcast up to MAX_FIXES rows each; beyond that they are joined to the words, broken words
@@ -32,13 +32,17 @@ CONFUSABLE = [
     ("г", "~"), ("Г", "~"), ("з", "3"), ("З", "3"), ("ш", "щ"), ("e", "c"), ("a", "@"), ("A", "@"), ("t", "+"), ("n", "ri"), ("s", "5"), ("S", "5"), ("o", "0"), ("O", "0"),
     ("l", "1"), ("I", "1"), ("g", "9"), ("h", "b"), ("m", "rn"), ("i", "1"), ("i", "!"), ("I", "!"), ("B", "8"),
 ]
-#: Wrong characters that no word has: they need no frequent variant.
-SURE = {w for _, w in CONFUSABLE if not w.isalpha() and w not in "@+" or w in ("ьі", "ЬІ")}
 #: How many times as frequent the right word must be.
 RATIO = 3
 #: How many times as large a misread word's share of the words in scans must be as its share elsewhere.
 LIFT = 10
+#: How often a word must stand in the corpus to correct others: those of letters alone, and those with a figure or sign among letters.
+FREQUENT, KNOWN = 8, 2
 MAX_FIXES = 200_000
+#: The longest running header.
+HEADER = 80
+#: Anagram values are taken modulo this prime, so that they fit whatever the character.
+PRIME = 2_147_483_647
 IMAGES = ("tif", "tiff", "png", "jpg", "jpeg")
 
 _edge = "«»“”„\"'(),.;:!?…—–[]<>’"
@@ -114,7 +118,7 @@ def edges(lines: list[str]) -> list[int]:
 
 def could_head(line: str) -> bool:
     s = line.strip()
-    return bool(s) and len(s) <= 80 and s[-1] not in ".!?:;,-¬­»" + "”" and not is_page_number(s) or s.endswith("»") and len(s) <= 40
+    return bool(s) and len(s) <= HEADER and s[-1] not in ".!?:;,-¬­»" + "”" and not is_page_number(s) or s.endswith("»") and len(s) <= 40
 
 
 def words_of(text: str) -> list[str]:
@@ -142,13 +146,19 @@ def parts_at(lines: list[str], a: int, b: int) -> tuple[str, str, str]:
 
 
 def survey_lines(results: DataFrame) -> DataFrame:
-    """(kind, a, n, m): line shapes of scans with their numbers at edges and inside; PDFs count if a page has its number."""
+    """(kind, a, n, m): line shapes of scans with their numbers at edges and inside (kind s); PDFs count if a page has its number. The edge
+    lines of other PDFs (kind e) are only looked up."""
 
     def make():
         def f(texts, chunks, scan):
             s: dict[str, list[int]] = {}
+            looked: set[str] = set()
             for t, ch, o in zip(texts, chunks, scan):
-                if not t or not (o == 2 or o == 1 and paged(t, ch)):
+                if not t:
+                    continue
+                if o == 1 and not paged(t, ch):
+                    split = [p.split("\n") for p in pages_of(t, ch)]
+                    looked |= {shape(ls[k]) for ls in split for k in edges(ls) if could_head(ls[k])}
                     continue
                 for page in pages_of(t, ch):
                     lines = page.split("\n")
@@ -158,7 +168,7 @@ def survey_lines(results: DataFrame) -> DataFrame:
                             continue
                         y = s.setdefault(shape(x), [0, 0])
                         y[k not in e] += 1
-            rows = [("s", x, n, m) for x, (n, m) in s.items() if n and len(x) < 90 or not n and could_head(x)]
+            rows = [("s", x, n, m) for x, (n, m) in s.items() if n or could_head(x)] + [("e", x, 1, 0) for x in looked]
             return [list(c) for c in zip(*rows)] if rows else [[]] * 4
 
         return f
@@ -191,7 +201,7 @@ def survey(results: DataFrame, heads: list[str] | None) -> DataFrame:
                     w.setdefault(x, [0, 0])[not o] += n
                 for x in re.findall(r"[^\W\d_]+-[^\W\d_]+", t):
                     w.setdefault(x, [0, 0])[not o] += 1
-            rows = [("w", x, n, m) for x, (n, m) in w.items() if len(x) < 40]
+            rows = [("w", x, n, m) for x, (n, m) in w.items()]
             return [list(c) for c in zip(*rows)] if rows else [[]] * 4
 
         return f
@@ -200,31 +210,57 @@ def survey(results: DataFrame, heads: list[str] | None) -> DataFrame:
     return part.groupBy("kind", "a").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
+def anagram_value(c: Column) -> Column:
+    """Fifth power of a code point, modulo PRIME."""
+    x = F.ascii(c).cast("bigint")
+    square = (x * x) % PRIME
+    return ((square * square) % PRIME * x) % PRIME
+
+
 def anagram_hash(word: Column) -> Column:
-    """Sum of the fifth powers of the code points."""
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda s, c: s + (F.ascii(c).cast("bigint") * F.ascii(c) * F.ascii(c) * F.ascii(c) * F.ascii(c)))
+    """Sum of the characters' values."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda s, c: s + anagram_value(c))
+
+
+def joined_by_hash(wrong: DataFrame, right: DataFrame) -> DataFrame:
+    """(columns of wrong, right's columns, edits): strings of column `wrong` that become one of column `right` when one or two confusable
+    characters are put right. The pairs whose wrong side a string holds are tried, alone and two together."""
+    power = lambda s: sum(pow(ord(c), 5, PRIME) for c in s)
+    table = F.array(*[F.struct(F.lit(w).alias("bad"), F.lit(power(w) - power(r)).alias("d")) for r, w in CONFUSABLE])
+    held = wrong.withColumn("_p", F.filter(table, lambda x: F.contains(F.col("wrong"), x["bad"]))).filter(F.size("_p") > 0).withColumn("_h", anagram_hash(F.col("wrong")))
+    one = F.transform("_p", lambda x: x["d"])
+    two = F.flatten(F.transform("_p", lambda x, i: F.transform(F.slice("_p", i + 1, F.size("_p")), lambda y: x["d"] + y["d"])))
+    tried = held.withColumn("_d", F.explode(F.array_distinct(F.concat(one, two)))).withColumn("_h", F.col("_h") - F.col("_d")).drop("_p", "_d")
+    pairs = tried.join(right.withColumn("_h", anagram_hash(F.col("right"))), "_h").drop("_h").distinct()
+
+    def check(*row):
+        w, r = row[at[0]], row[at[1]]
+        edits = 1 if near(w, r, 1) else 2 if near(w, r, 2) else 0
+        return [(*row, edits)] if edits and w != r else []
+
+    at = pairs.columns.index("wrong"), pairs.columns.index("right")
+    return map_rows(pairs, lambda: check, T.StructType([*pairs.schema.fields, T.StructField("edits", T.IntegerType())]))
 
 
 def corrections(surveyed: DataFrame) -> DataFrame:
     """(wrong, right, n): misread words with their best ranked correction."""
-    spark = surveyed.sparkSession
     words = surveyed.filter("kind = 'w'").select(F.col("a").alias("word"), F.col("n").alias("scans"), F.col("m").alias("other"), (F.col("n") + F.col("m")).alias("n"))
-    # fifth powers of up to 40 characters below U+0800 fit a bigint; the confusable letters are all there
-    hashed = words.filter("word rlike '^[\\\\x21-\\\\u07ff]{1,40}$'").withColumn("h", anagram_hash(F.col("word")))
-    frequent = hashed.filter(f"n >= 8 and word rlike '^[\\\\p{{L}}]+$'").select(F.col("word").alias("right"), F.col("n").alias("frequency"), "h")
-    power = lambda s: sum(ord(c) ** 5 for c in s)
-    table = spark.createDataFrame([(r, w, power(w) - power(r)) for r, w in CONFUSABLE], "good string, bad string, d bigint")
+    frequent = words.filter((F.col("n") >= KNOWN) & F.col("word").rlike("^\\p{L}+$")).select(F.col("word").alias("right"), F.col("n").alias("frequency"))
     of = words.agg(F.sum("scans").alias("scans"), F.sum("other").alias("other")).first()
-    rare = hashed.filter(F.col("scans") * (of.other or 0) >= F.col("other") * (LIFT * (of.scans or 0))).filter("scans > 0 and (length(word) >= 4 or length(word) = 3 and word rlike '[^\\\\p{L}]')").select(F.col("word").alias("wrong"), "n", F.col("h").alias("hw"))
-    candidates = rare.join(F.broadcast(table), F.expr("contains(wrong, bad)")).withColumn("h", F.col("hw") - F.col("d"))
-    pairs = candidates.join(frequent, "h").filter(f"frequency >= {RATIO} * n")
-    fits = F.expr("exists(sequence(1, length(wrong)), i -> concat(substring(wrong, 1, i - 1), good, substring(wrong, i + length(bad), 99)) = right AND substring(wrong, i, length(bad)) = bad)")
-    return pairs.filter(fits).groupBy("wrong").agg(F.max_by("right", F.struct("frequency", "right")).alias("right"), F.max("frequency").alias("n"))
+    rare = words.filter(F.col("scans") * (of.other or 0) >= F.col("other") * (LIFT * (of.scans or 0))).filter("scans > 0 and (length(word) >= 4 or length(word) = 3 and word rlike '[^\\\\p{L}]')").select(F.col("word").alias("wrong"), "n")
+    least = F.when(F.col("wrong").rlike("[^\\p{L}]|ьі|ЬІ"), KNOWN).otherwise(FREQUENT)
+    pairs = joined_by_hash(rare, frequent).filter((F.col("frequency") >= RATIO * F.col("n")) & (F.col("frequency") >= least))
+    return pairs.groupBy("wrong").agg(F.max_by("right", F.struct(-F.col("edits"), "frequency", "right")).alias("right"), F.max("frequency").alias("n"))
 
 
 def headers(surveyed: DataFrame) -> DataFrame:
-    """(a): shapes of running headers and footers."""
-    return surveyed.filter("kind = 's'").filter((F.col("n") >= 4) & (F.col("m") <= 0.2 * F.col("n")) & F.col("a").rlike("\\p{L}{3}")).select("a")
+    """(a): shapes of running headers and footers, and the edge lines that are one of these but for misread characters."""
+    lines = surveyed.filter("n > 0")
+    known = lines.filter((F.col("kind") == "s") & (F.col("n") >= 4) & (F.col("m") <= 0.2 * F.col("n")) & F.col("a").rlike("\\p{L}{3}")).select("a")
+    # a page number may follow
+    forms = lines.select(F.explode(F.array("a", F.regexp_replace("a", " #$", ""))).alias("wrong")).filter("length(wrong) >= 8").distinct()
+    misread = joined_by_hash(forms.join(known, F.col("wrong") == F.col("a"), "left_anti"), known.withColumnRenamed("a", "right"))
+    return known.union(misread.select("wrong")).distinct()
 
 
 def compounds(surveyed: DataFrame) -> DataFrame:
@@ -241,21 +277,9 @@ def few(evidence: DataFrame) -> list | None:
     return rows if len(rows) <= MAX_FIXES else None
 
 
-def put_right(s: str, most: int) -> set[str]:
-    """s and its forms with up to `most` misread characters put right: whatever is near() to s."""
-    out = {s}
-    for right, wrong in CONFUSABLE if most else ():
-        k = s.find(wrong)
-        while k >= 0:
-            out |= put_right(s[:k] + right + s[k + len(wrong) :], most - 1)
-            k = s.find(wrong, k + 1)
-    return out
-
-
 def head_forms(s: str) -> set[str]:
-    """The headers that a line of this shape may be: without a page number behind it, with misread characters put right."""
-    forms = {s, s[:-2].rstrip()} if s.endswith(" #") else {s}
-    return forms if len(s) < 8 or len(s) > 90 else {g for f in forms for g in put_right(f, 2)}
+    """A line's shape, and without a page number behind it."""
+    return {s, s[:-2].rstrip()} if s.endswith(" #") else {s}
 
 
 def with_heads(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -263,11 +287,10 @@ def with_heads(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     def lines(i, text, chunks):
         split = [p.split("\n") for p in pages_of(text, chunks)]
-        return [(i, x) for x in {shape(ls[k]) for ls in split for k in edges(ls) if could_head(ls[k])}]
+        return [(i, x) for x in {f for ls in split for k in edges(ls) if could_head(ls[k]) for f in head_forms(shape(ls[k]))}]
 
-    used = map_rows(rows.filter("scan > 0").select("result_id", "text", "chunks"), lambda: lines, "result_id bigint, line string")
-    forms = map_rows(used.select("line").distinct(), lambda: lambda s: [(s, f) for f in head_forms(s)], "line string, a string")
-    per = used.join(forms.join(known, "a"), "line").groupBy("result_id").agg(F.collect_set("a").alias("heads"))
+    used = map_rows(rows.filter("scan > 0").select("result_id", "text", "chunks"), lambda: lines, "result_id bigint, a string")
+    per = used.join(known, "a").groupBy("result_id").agg(F.collect_set("a").alias("heads"))
     return rows.join(per, "result_id", "left")
 
 
@@ -300,16 +323,10 @@ class Page:
     def __init__(self, heads, compound):
         self.heads = set(heads)
         self.compound = set(compound)
-        self.memo: dict[str, bool] = {}
 
     def head(self, line: str) -> bool:
-        """A known header, perhaps with a page number behind it or misread characters."""
-        s = shape(line)
-        if s in self.heads or s.endswith(" #") and s[:-2].rstrip() in self.heads:
-            return True
-        if s not in self.memo:
-            self.memo[s] = not self.heads.isdisjoint(head_forms(s))
-        return self.memo[s]
+        """A known header, perhaps with a page number behind it."""
+        return not self.heads.isdisjoint(head_forms(shape(line)))
 
     def roles(self, lines: list[str], repeated: set[str]) -> dict[int, str]:
         """line -> header or page_number, at the edges of a page."""
@@ -355,25 +372,6 @@ class Page:
     def is_compound(self, left: str, right: str) -> bool:
         return any(w in self.compound for w in self.compound_forms(left, right))
 
-    def misread(self, word: str, fixes: dict[str, str]) -> str | None:
-        """The right form of a misread word."""
-        if word in fixes:
-            return fixes[word]
-        for w in SURE:
-            k = word.find(w)
-            if k < 0:
-                continue
-            if w in ("ьі", "ЬІ"):
-                return word.replace("ьі", "ы").replace("ЬІ", "Ы")
-            if sum(map(str.isalpha, word)) >= 3 and (0 < k < len(word) - 1 and word[k - 1].isalpha() or k == 0 and word[1:2].isalpha() or k == len(word) - 1 and word[k - 1].isalpha() and w in "|^~"):
-                cyr = bool(re.search("[А-яёЁ]", word))
-                fixed = word
-                for good, bad in CONFUSABLE:
-                    if bad in SURE and bad in fixed and (bool(re.match("[А-яёЁ]", good)) == cyr):
-                        fixed = fixed.replace(bad, good.upper() if word.isupper() else good.lower())
-                return fixed if fixed.isalpha() else None
-        return None
-
     def findings(self, text: str, chunks: list[str] | None, fixes: dict[str, str]) -> tuple[list[tuple[int, str]], list[str]]:
         """((line_no, kind) of the text, repaired paragraphs)."""
         lines, heads = self.lines_and_heads(text, chunks)
@@ -390,7 +388,7 @@ class Page:
             found.add((a + 1, "hyphen"))
             taken_left.add(a)
             taken_right.add(b)
-            good = self.misread(left + right, fixes)
+            good = fixes.get(left + right)
             if good:
                 bad = next((i for i, (x, y) in enumerate(zip(left + right, good)) if x != y), len(good))
                 found.add(((a if bad < len(left) else b) + 1, "misread"))
@@ -406,7 +404,7 @@ class Page:
                 tokens = tokens[1:]
             for t in tokens:
                 for w in words_of(t):
-                    good = self.misread(w, fixes)
+                    good = fixes.get(w)
                     if good:
                         found.add((k + 1, "misread"))
                         fixed[k] = fixed[k].replace(w, good, 1)
@@ -463,8 +461,10 @@ def repair(results: DataFrame) -> DataFrame:
         compound = None if known is None else [r.a for r in known]
         if compound is None:
             joined = checkpoint(joined)
-        fixes = corrections(surveyed).persist()
+        fixes = corrections(surveyed)
         known = few(fixes)
+        if known is None:
+            fixes = checkpoint(fixes)
         table = None if known is None else {r.wrong: r.right for r in known}
     finally:
         shapes.unpersist()

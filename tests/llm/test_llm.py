@@ -314,6 +314,28 @@ def test_pdf_with_numbered_header_is_a_scan_in_both_passes(spark):
     assert got[100].count("misread") == 5 and got[101].count("misread") == 3 and got[101].count("header") == 3
 
 
+def test_words_need_a_frequent_variant(spark):
+    """Words with figures and signs, two errors, long words and letters of any script; nothing without its right form in the corpus."""
+    long = "сверхвысоко" * 5 + "частотный"
+    words = [("документ", 9, 90), ("д0кумепт", 2, 0), ("mp3файл", 3, 0), ("Windows8x", 3, 0), ("Т34танк", 3, 0), ("файл", 9, 90), (long, 3, 3), (long.replace("н", "п"), 1, 0), ("ẁerte", 4, 4), ("ẁcrte", 1, 0), ("слово", 0, 500), ("я3ык", 1, 0), ("язык", 2, 2)]
+    df = spark.createDataFrame([("w", *x) for x in words], "kind string, a string, n long, m long")
+    got = {x.wrong: x.right for x in scans.corrections(df).collect()}
+    assert got == {"д0кумепт": "документ", "я3ык": "язык", "ẁcrte": "ẁerte"}
+    monkey = scans.FREQUENT
+    try:
+        scans.FREQUENT = 3
+        got = {x.wrong: x.right for x in scans.corrections(df).collect()}
+    finally:
+        scans.FREQUENT = monkey
+    assert got == {"д0кумепт": "документ", "я3ык": "язык", long.replace("н", "п"): long, "ẁcrte": "ẁerte"}
+
+
+def test_misread_headers_are_joined(spark):
+    shapes = [("s", "ЖУРНАЛ УЧЁТА ДЕЛ", 9, 0), ("s", "ЖУРПАЛ УЧЁТА ДЕЛ #", 1, 0), ("s", "ЖУРПАЛ УЧ3ТА ДЕЛ", 1, 0), ("s", "ЖУРПАЛ УЧЁТА ДЕЛ", 1, 3), ("s", "ЖУРНАП УЧЁТА ДЕЛ", 1, 0), ("s", "обычная строка", 1, 9)]
+    got = {r.a for r in scans.headers(spark.createDataFrame(shapes, "kind string, a string, n long, m long")).collect()}
+    assert got == {"ЖУРНАЛ УЧЁТА ДЕЛ", "ЖУРПАЛ УЧЁТА ДЕЛ"}
+
+
 def test_a_stray_occurrence_keeps_a_correction(spark):
     words = [("документ", 100, 400), ("докумепт", 20, 1), ("архив", 100, 400), ("архнв", 5, 20), ("слово", 0, 100)]
     df = spark.createDataFrame([("w", *x) for x in words], "kind string, a string, n long, m long")
@@ -337,7 +359,6 @@ def test_headers_and_compounds_are_joined(spark, monkeypatch):
     df = scan_corpus(spark).filter("result_id <> 102")
     few = sorted(map(str, scans.repair(df).collect()))
     monkeypatch.setattr(scans, "MAX_FIXES", 0)
-    monkeypatch.setattr(scans.Page, "misread", lambda self, word, fixes: None)
     many = scans.repair(df).collect()
     assert len(many) == len(few) == 7 and sum(f.kind == "header" for r in many for f in r.found) == 12
     assert all("научно-технического" in " ".join(r.paragraphs) and "архива" in " ".join(r.paragraphs) for r in many)
