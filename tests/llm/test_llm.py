@@ -245,7 +245,7 @@ def garbled_corpus():
 def test_encoding(spark):
     rows, truth = garbled_corpus()
     twice = encoding.mappings()["utf-8", "cp1251"]
-    rows += [(200, twice.garble(twice.garble(CLEAN[0]))), (201, None), (202, ""), (203, "Ñusta Ãlvares и Ђорђе Њушић, Łucja Żądłowska"), (204, "ЖУРНАЛ УЧЁТА ДОКУМЕНТ0В"), (205, "MÃ¥ns Östergård")]
+    rows += [(200, twice.garble(twice.garble(CLEAN[0]))), (201, None), (202, ""), (203, "Ñusta Ãlvares и Ђорђе Њушић, Łucja Żądłowska"), (204, "ЖУРНАЛ УЧЁТА ДОКУМЕНТ0В"), (205, "MÃ¥ns Östergård"), (206, "Ђорђе Њушић")]
     df = spark.createDataFrame(rows, "i long, text string").withColumn("restored", F.lit(0))
     fitted = encoding.fit(df)
     got = {r.i: r.restored for r in encoding.affected(df, "i", "text", fitted).collect()}
@@ -261,6 +261,37 @@ def test_encoding_round_trips():
             assert m.garble(CLEAN[0]).translate(m.map) == CLEAN[0]
 
 
+def test_codecs_outside_the_list_are_learned(spark):
+    """Cyrillic read as Greek: no pair of CODECS; the table comes from the aligned characters."""
+    rows = [(k, t.replace("7", str(k)) + " Хранитель добавил, что опись верна, п. 5.") for k, t in enumerate(CLEAN * 30)]
+    other = encoding.Mapping("cp1251", "cp1253")
+    rows += [(200 + k, other.garble(rows[k][1])) for k in range(12)]
+    df = spark.createDataFrame(rows, "i long, text string")
+    learned, logp = encoding.fit(df)
+    assert [p[0] for p in learned] == ["table"]
+    got = {r.i: r.restored for r in encoding.affected(df, "i", "text", (learned, logp)).collect()}
+    assert set(got) == set(range(200, 212)) and all(sum(x != y for x, y in zip(t, rows[k - 200][1])) <= 0.1 * len(t) for k, t in got.items())
+
+
+def test_alignment():
+    known = encoding.mappings()
+    for p in (("utf-8", "cp1251"), ("cp1251", "cp866"), ("utf-8", "latin-1")):
+        g = known[p].garble("«расписки»")
+        assert all(known[p].explains(x, y) for x, y in encoding.aligned(g, "«расписки»")[0]) and len(encoding.aligned(g, "«расписки»")[0]) == 10
+        assert not all(known[p].explains(x, y) for x, y in encoding.aligned(g, "«рассылки»")[0])
+        clean = {h for h, _, _ in encoding.words_of(CLEAN[1], True)}
+        assert clean >= {h for h, _, _ in encoding.words_of(known[p].garble(CLEAN[1]), False)}
+    assert encoding.aligned("два", "один")[0] == [] and encoding.aligned("a1б", "a2в")[0] == [] and encoding.words_of("Да.", True) == []
+
+
+def test_every_twin_is_compared(spark):
+    """The true twin lies between others of the same key."""
+    like = ["Дело {} лежит у нас, п. 5, в шкафу архива.".format(w) for w in ("аааа", "вода", "ямбы", "гора", "мост")]
+    garbled = [encoding.mappings()["koi8-r", "cp1251"].garble(x) for x in (like[1], like[3])]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(like + garbled)], "i long, text string")
+    assert ("koi8-r", "cp1251") in encoding.fit(df)[0]
+
+
 # ---------------------------------------------------------------- scans
 
 
