@@ -214,9 +214,24 @@ def test_uniform_is_stable_and_agrees_with_tables():
         assert u(u(f"а {k} б")) == u(f"а {k} б")
     r = random.Random(5)
     keys = list(uniform.MAPPING)
-    for _ in range(300):
-        t = "".join(r.choice([*"абвabc .,-", *keys]) for _ in range(40))
-        assert u(u(t)) == u(t)
+    marks = [chr(c) for c in range(0x300, 0x345)]
+    for low in (False, True):
+        v = uniform.Uniform(low)
+        for k in range(1500):
+            t = "".join(r.choice([*"абвеорсabceop xy .,-;\n", *marks[: 9 * (k % 3)], r.choice(keys), "й", "ё", "ё", "ab ", "он "]) for _ in range(40))
+            once = v(t)
+            assert v(once) == once, repr(t)
+            assert low or uniform.triggered([t])[0] or once == t
+
+
+def test_uniform_widths_marks_and_whole_words():
+    u = uniform.Uniform()
+    assert u("ｶﾞｲﾄﾞ ￥5 𝐀𝐁ﬁ") == "ガイド ¥5 ABfi" and u("e\u0302\u0323") == u("e\u0323\u0302") == "ệ"
+    assert u("дом cop там") == "дом сор там" and u("the сор is") == "the cop is" and u("он y нас, и всë") == "он у нас, и всё"
+    assert u("он сказал: OK, HP и PC там") == "он сказал: OK, HP и PC там" and u("слева a.pdf и copy.exe там") == "слева a.pdf и copy.exe там"
+    assert u("8-50\xad0-271") == "8-500-271" and uniform.Uniform(True)("850\xad0271") == "8500271"
+    with pytest.raises(ValueError):
+        uniform.conflict_free({"a": "b", "b": "c"})
 
 
 def test_uniform_table(spark):
