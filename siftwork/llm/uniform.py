@@ -84,7 +84,7 @@ def pairs() -> dict[str, str]:
         form = unicodedata.decomposition(chr(o)).split()
         if len(form) == 2 and form[0][0] != "<":
             base, mark = (chr(int(x, 16)) for x in form)
-            if re.match(f"[{MARKS}]", mark) and unicodedata.normalize("NFC", base + mark) == chr(o):
+            if base.isalpha() and re.match(f"[{MARKS}]", mark) and unicodedata.normalize("NFC", base + mark) == chr(o):
                 m[base + mark] = chr(o)
     return conflict_free(m)
 
