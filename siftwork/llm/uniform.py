@@ -110,20 +110,20 @@ def looks(m: dict[str, str], lowered: bool) -> dict[str, str]:
 _class = lambda cs: "[" + "".join(map(re.escape, sorted(cs))) + "]"
 _single = _class(SINGLES)
 _wide_letters = "".join(k for k, v in SINGLES.items() if v and v.isalpha())
-_LETTER = "A-Za-zÀ-ɏḀ-ỿͰ-Ͽἀ-\u1fffЀ-ԯ" + "".join(map(re.escape, (c for c in _wide_letters if re.fullmatch("[A-Za-zÀ-ɏḀ-ỿͰ-Ͽἀ-\u1fffЀ-ԯ]+", SINGLES[c]))))
+_LETTER = "A-Za-zÀ-ʯḀ-ỿͰ-Ͽἀ-\u1fffЀ-ԯ" + "".join(map(re.escape, (c for c in _wide_letters if re.fullmatch("[A-Za-zÀ-ʯḀ-ỿͰ-Ͽἀ-\u1fffЀ-ԯ]+", SINGLES[c]))))
 _HIDDEN = INVISIBLE.replace(SOFT, "") + "\\u0300-\\u036f"
 #: Longest matches: a soft hyphen at a line's end, a word with its marks and invisible characters, another cluster, or a single input.
 _unit = re.compile(f"{SOFT}(?=[ \\t]*\\n)|(?P<word>[{_LETTER}](?:[{_LETTER}{_HIDDEN}]|{SOFT}(?![ \\t]*\\n))*)|(?P<other>\\S[{MARKS}\uff9e\uff9f]+|{_single}[{MARKS}\uff9e\uff9f]*)")
 _special = re.compile(f"{_single}|[{MARKS}]")
-_parts = re.compile("[A-Za-zÀ-ɏḀ-ỿ]+|[Ѐ-ԯ]+|[Ͱ-Ͽἀ-\u1fff]+")
+_parts = re.compile("[A-Za-zÀ-ʯḀ-ỿ]+|[Ѐ-ԯ]+|[Ͱ-Ͽἀ-\u1fff]+")
 _cyr = re.compile("[Ѐ-ԯ]")
-_lat = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
+_lat = re.compile("[A-Za-zÀ-ʯḀ-ỿ]")
 _grk = re.compile("[Ͱ-Ͽἀ-\u1fff]")
 
 _INPUT, _L, _C, _G, _LOOK = 1, 2, 4, 8, 16
 _flags = chars.table(
     (_INPUT, [*(c for c in SINGLES if ord(c) < 0x10000), (0x300, 0x36F), (0x370, 0x3FF), (0x3099, 0x309A), *"ЅІЈѕіј", *MORE_LATIN, "\uffff"]),
-    (_L, [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)]), (_C, [(0x400, 0x52F)]), (_LOOK, [*LATIN, *CYRILLIC]),
+    (_L, [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x2AF), (0x1E00, 0x1EFF)]), (_C, [(0x400, 0x52F)]), (_LOOK, [*LATIN, *CYRILLIC]),
 )
 
 
