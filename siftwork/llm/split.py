@@ -13,6 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A noncharacter; items that hold it are cut in three passes instead.
+MARK = "\ufdd0"
+
+
 def pattern(fresh: Column, over: Column) -> Column:
     """The extraction pattern for pieces that take at most `fresh` new characters each, looking back on `over`.
 
@@ -42,11 +46,15 @@ def pattern(fresh: Column, over: Column) -> Column:
 
 def pieces(item: Column, max_chars: Column, overlap_chars: Column) -> Column:
     """array<string>: pieces of at most max_chars, each beginning with the last overlap_chars of the one before."""
-    over = F.least(F.greatest(F.coalesce(overlap_chars, F.lit(0)), F.lit(0)), F.floor(max_chars / 2).cast("int"))
+    over = F.least(F.greatest(F.coalesce(overlap_chars, F.lit(0)), F.lit(0)), (max_chars - 1).cast("int"))
     p = pattern(max_chars - over, over)
+    # one pass: every piece with what it looks back on, and a mark behind it
+    marked = F.split(F.regexp_replace(item, p, F.lit(f"$1$2$0{MARK}")), MARK, -1)
+    cut = F.slice(marked, 1, F.size(marked) - 1)
     core, back, first = (F.regexp_extract_all(item, p, F.lit(k)) for k in (0, 1, 2))
-    cut = F.zip_with(F.zip_with(first, back, lambda x, y: F.concat(x, y)), core, lambda x, y: F.concat(x, y))
-    return F.when(item.isNull(), F.lit(None)).when(max_chars.isNull() | (max_chars < 1) | (F.length(item) <= max_chars), F.array(item)).otherwise(cut)
+    with_mark = F.zip_with(F.zip_with(first, back, lambda x, y: F.concat(x, y)), core, lambda x, y: F.concat(x, y))
+    whole = max_chars.isNull() | (max_chars < 1) | (F.length(item) <= max_chars)
+    return F.when(item.isNull(), F.lit(None)).when(whole, F.array(item)).when(F.contains(item, F.lit(MARK)), with_mark).otherwise(cut)
 
 
 def split_items(results: DataFrame, limits: DataFrame) -> DataFrame:

@@ -39,6 +39,19 @@ def test_pieces_cases(spark):
     assert max(map(len, pieces(spark, "слово " * 20_000, 40, 39))) <= 40
 
 
+@pytest.mark.parametrize("over", [0, 5, 25, 39, 40, 90])
+def test_any_overlap_below_the_limit(spark, over):
+    text = "Первое предложение тут. Второе там, с хвостом!\n\n" * 9 + "без границ" * 12
+    real = min(over, 39)
+    for t in (text, text + split.MARK + text):
+        p = pieces(spark, t, 40, over)
+        assert all(len(x) <= 40 for x in p) and all(a.endswith(b[:real]) or len(a) < real for a, b in zip(p, p[1:]))
+        got = p[0]
+        for x in p[1:]:
+            got += x[min(real, len(got)) :]
+        assert got == t
+
+
 def test_oversized(spark):
     rows = [(1, "x", "t" * 41, ["c" * 21, None, "c"], 1), (2, "x", None, None, 1), (3, "z", "t" * 99, [], 1), (4, "y", "t" * 99, None, 1), (1, "x", "t" * 41, ["c" * 21, None, "c"], 1)]
     df = spark.createDataFrame(rows, "result_id long, file_format string, text string, chunks array<string>, pieces int")
