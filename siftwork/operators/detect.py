@@ -1,8 +1,8 @@
 """Detection: texts to matches, matches to findings, findings to one result per file.
 
-All detectors run in one projection, so a text is read once; each cuts it at its matches and the cuts are exploded together.
-A detector is skipped where none of its stems, or not its gate, is in the text. One shuffle on the key brings a file's matches together; counts
-are added up before it.
+All detectors run in one projection, so a text is read once; each cuts it at its matches, and only these, with their places and contexts, are
+exploded, not the text. A detector is skipped where none of its stems, or not its gate, is in the text. Equal values of a file are counted before
+the shuffle that brings them together; names and passports are folded after that, over their distinct values.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import text as X
 from siftwork.functions.validators import valid
 from siftwork.operators.registry import BY_NAME, DETECTORS, Detector
+from siftwork.util import map_rows
 
 
 #: A noncharacter, which texts don't hold, marks where matches begin and end.
@@ -58,11 +59,14 @@ def matches(docs: DataFrame, text: str = "text", detectors: list[str] | None = N
     t = docs.withColumn(text, X.clean_text(F.col(text)) if clean else F.col(text)).filter(F.length(text) >= min_text_length)
     c = F.col(text)
     t = t.select(*keep, text, fold(c).alias("_f"))
-    cuts = t.select(*keep, text, F.posexplode(F.array(*[cut(c, F.col("_f"), d) for d in chosen])).alias("_d", "_p")).filter(F.size("_p") > 1)
-    m = cuts.select(*keep, text, "_d", F.explode(located(F.col("_p"))).alias("_x"))
-    number = F.array(*[F.lit(d.number) for d in chosen])[F.col("_d")]
-    context = X.snippet(c, F.col("_x.start"), F.length("_x.raw"))
-    m = m.select(*keep, number.alias("pattern_no"), F.col("_x.start").alias("start"), X.stripped(F.col("_x.raw")).alias("raw"), context.alias("context"))
+
+    def found(d: Detector) -> Column:
+        parts = cut(c, F.col("_f"), d)
+        item = lambda x: F.struct(F.lit(d.number).alias("pattern_no"), x["start"].alias("start"), X.stripped(x["raw"]).alias("raw"), X.snippet(c, x["start"], F.length(x["raw"])).alias("context"))
+        # named once only: a pattern in two branches would run twice
+        return F.coalesce(F.transform(located(parts), item), F.array())
+
+    m = t.select(*keep, F.explode(F.flatten(F.array(*map(found, chosen)))).alias("_x")).select(*keep, "_x.*")
     name = F.create_map(*[F.lit(v) for d in chosen for v in (d.number, d.name)])[F.col("pattern_no")]
     shortest = F.create_map(*[F.lit(v) for d in chosen for v in (d.number, d.min_length)])[F.col("pattern_no")]
     m = m.withColumn("pattern_name", name).filter((F.length("raw") > 0) & (F.length("raw") >= shortest))
@@ -78,31 +82,52 @@ def merged(m: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
+MERGED = "pattern_no int, pattern_name string, value string, count bigint, context_snippet string"
+
+
+def alias_folded(rows: list[tuple]) -> list[tuple]:
+    """Rows (pattern_no, first place, pattern_name, value, probe, count, context) of one group to MERGED's columns.
+
+    In order, a value whose probe stands in the value of an earlier finding adds to the first such one. Earlier findings are looked up by
+    the rarest three letters of the probe.
+    """
+    if len(rows) == 1:
+        no, _, name, value, _, count, context = rows[0]
+        return [(no, name, value, count, context)]
+    out: list[list] = []
+    holders: dict[str, list[int]] = {}
+    for no, _, name, value, probe, count, context in sorted(rows, key=lambda r: (r[0], tuple(r[1]), r[3])):
+        probe = probe or ""
+        grams = [probe[k : k + 3] for k in range(len(probe) - 2)]
+        where = min((holders.get(g, []) for g in grams), key=len) if grams else range(len(out))
+        hit = next((k for k in where if probe in out[k][2]), None)
+        if hit is not None:
+            out[hit][3] += count
+            continue
+        for g in {value[k : k + 3] for k in range(len(value) - 2)}:
+            holders.setdefault(g, []).append(len(out))
+        out.append([no, name, value, count, context])
+    return [tuple(r) for r in out]
+
+
 def alias_merged(m: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """merged() for detectors with a probe: a match whose probe stands in the value of a finding of its group adds to that finding.
+    """merged(), but a match of a detector with a probe whose probe stands in the value of a finding of its group adds to that finding.
 
     Names near role words come first, then full names, each in text order; this fixes the order that decides which finding is credited. A
-    group is the names of one file.
+    group is the distinct names, or passports, of one file; findings of other detectors are groups of one.
     """
     surname = reduce(lambda a, d: F.when(F.col("pattern_name") == d, F.regexp_extract("raw", BY_NAME[d].pattern, 1)).otherwise(a), ["full_name_context", "full_name"], F.lit(None))
     probe = F.when(F.col("pattern_name") == "passport_rf", F.col("value")).otherwise(X.normalize_value(surname))
-    group = F.when(F.col("pattern_name") == "passport_rf", "passport").otherwise("name")
-    item = F.struct("pattern_no", *order, "pattern_name", "value", probe.alias("probe"), F.col("context"))
-    grouped = m.withColumn("_g", group).withColumn("_i", item).groupBy(*keys, "_g").agg(F.array_sort(F.collect_list("_i")).alias("_l"))
-    kind = "array<struct<pattern_no:int,pattern_name:string,value:string,count:bigint,context_snippet:string>>"
-
-    def step(acc, x):
-        # an empty probe stands in every value
-        hit = F.array_position(F.transform(acc, lambda f: F.contains(f["value"], x["probe"])), F.lit(True))
-        raised = F.transform(
-            acc,
-            lambda f, i: F.struct(f["pattern_no"].alias("pattern_no"), f["pattern_name"].alias("pattern_name"), f["value"].alias("value"), (f["count"] + F.when(i + 1 == hit, 1).otherwise(0)).alias("count"), f["context_snippet"].alias("context_snippet")),
-        )
-        fresh = F.array(F.struct(x["pattern_no"].alias("pattern_no"), x["pattern_name"].alias("pattern_name"), x["value"].alias("value"), F.lit(1).cast("bigint").alias("count"), x["context"].alias("context_snippet")))
-        return F.when(hit > 0, raised).otherwise(F.concat(acc, fresh))
-
-    folded = grouped.withColumn("_f", F.aggregate("_l", F.array().cast(kind), step))
-    return folded.select(*keys, F.explode("_f").alias("_x")).select(*keys, "_x.*")
+    distinct = m.withColumn("probe", probe).groupBy(*keys, "pattern_no", "pattern_name", "value", "probe").agg(
+        F.count("*").alias("count"), F.min_by("context", F.struct(*order)).alias("context_snippet"), F.min(F.struct(*order)).alias("first")
+    )
+    group = reduce(lambda a, d: F.when(F.col("pattern_name") == d.name, d.probe).otherwise(a), [d for d in DETECTORS if d.probe], F.concat_ws("=", "pattern_no", "value"))
+    first = F.array(*[F.col(f"first.{o}").cast("bigint") for o in order])
+    item = F.struct("pattern_no", first.alias("first"), "pattern_name", "value", "probe", "count", "context_snippet")
+    grouped = distinct.groupBy(*keys, group.alias("_g")).agg(F.collect_list(item).alias("_l")).drop("_g")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grouped.select(*keys).schema)
+    # one plan for all groups: two branches would read the texts twice
+    return map_rows(grouped, lambda: lambda *row: [(*row[:-1], *r) for r in alias_folded([tuple(x.values()) for x in row[-1]])], f"{kinds}, {MERGED}")
 
 
 def findings(docs: DataFrame, keys: list[str], text: str = "text", detectors: list[str] | None = None, clean: bool = False, deduplicate: bool = True, min_text_length: int = 10, chunk: str | None = None) -> DataFrame:
@@ -112,16 +137,9 @@ def findings(docs: DataFrame, keys: list[str], text: str = "text", detectors: li
     """
     order = ([chunk] if chunk else []) + ["start"]
     docs = docs.select(*keys, *([chunk] if chunk else []), text)
-    chosen = [d for d in DETECTORS if not detectors or d.name in detectors]
-    # each branch runs its own detectors alone
-    probed = [d.name for d in chosen if d.probe] if deduplicate else []
-    plain = [d.name for d in chosen if d.name not in probed]
-    parts = []
-    if plain:
-        parts.append(merged(matches(docs, text, plain, clean, min_text_length), keys, order).drop("first"))
-    if probed:
-        parts.append(alias_merged(matches(docs, text, probed, clean, min_text_length), keys, order))
-    out = reduce(DataFrame.unionByName, parts)
+    m = matches(docs, text, detectors, clean, min_text_length)
+    probed = [d for d in DETECTORS if d.probe and (not detectors or d.name in detectors)]
+    out = alias_merged(m, keys, order) if probed and deduplicate else merged(m, keys, order).drop("first")
     return described(out, keys)
 
 

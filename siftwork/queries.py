@@ -269,7 +269,8 @@ def email_findings(spark, d):
 
 
 def texts(spark, d):
-    return spread(table(spark, d, "extraction_results").select("result_id", "text"))
+    # texts differ much in work, so there are several tasks for each core
+    return spread(table(spark, d, "extraction_results").select("result_id", "text"), 4)
 
 
 @query(
@@ -444,9 +445,9 @@ def significant_files(spark, d):
     return report.significant(table(spark, d, "scan_results")).select("result_id", "path")
 
 
-@query("filtered_files", "SELECT result_id, path FROM scan_results WHERE uz_level = 'УЗ-2' AND file_format = 'pdf' AND total_findings > 0 AND contains(lower(string_split(path, '/')[-1]), 'scan')")
+@query("filtered_files", "SELECT result_id, path FROM scan_results WHERE uz_level = 'УЗ-2' AND file_format = 'pdf' AND total_findings > 0 AND contains(lower(string_split(path, '/')[-1]), 'a')")
 def filtered_files(spark, d):
-    return report.filtered(table(spark, d, "scan_results"), "УЗ-2", "pdf", "with", "SCAN").select("result_id", "path")
+    return report.filtered(table(spark, d, "scan_results"), "УЗ-2", "pdf", "with", "A").select("result_id", "path")
 
 
 # ---------------------------------------------------------------- sources

@@ -92,7 +92,7 @@ def read_parquet(spark: SparkSession, path: str, cap: int | None = None) -> tupl
     return (df.limit(cap) if meta["truncated"] else df), meta
 
 
-def extract(spark: SparkSession, path: str, cap: int | None = CAP) -> tuple[DataFrame, dict]:
-    """Lines of a CSV or Parquet file."""
+def extract(spark: SparkSession, path: str, cap: int | None = None) -> tuple[DataFrame, dict]:
+    """Lines of a CSV or Parquet file; cap: at most so many rows (CAP is the customary number), all by default."""
     df, meta = (read_parquet if os.path.splitext(path)[1].lower() == ".parquet" else read_csv)(spark, path, cap)
     return lines(df, missing=path.lower().endswith(".csv")), meta

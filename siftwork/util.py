@@ -21,12 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions where a scan gives fewer than the cluster has cores (a row group isn't split).
+def spread(df: DataFrame, times: int = 1) -> DataFrame:
+    """More partitions where a scan gives fewer than `times` the cluster's cores (a row group isn't split).
 
     Only the scan's own number of partitions is looked at; no job runs.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = times * df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming:
         return df
     parts = df.rdd.getNumPartitions()
