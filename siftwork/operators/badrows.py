@@ -31,7 +31,7 @@ FIELDS = ("фио", "телефон", "снилс")
 
 SCHEMA = (
     "line_id bigint, path string, line_no bigint, fio string, phone string, snils string, reason string,"
-    " error_pos int, error_text string, recovered array<string>"
+    " error_pos int, error_text string, recovered array<struct<raw:string,fio:string,phone:string,snils:string>>"
 )
 
 
@@ -185,11 +185,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             sep = separator(header or "")
             r = parse_one(raw, sep)
             if r.reason is None:
-                name, phone, snils = (None if (x := v.strip()) in MISSING else x for v in r.fields)
-                return [(line_id, path, line_no, name, phone and _phone(phone), snils and re.sub(r"[\s\-]", "", snils), None, None, None, None)]
+                return [(line_id, path, line_no, *typed(r.fields), None, None, None, None)]
             found = None
             if r.reason == "quoting" and "\n" in raw:
-                found = [raw[x.start : x.end].rstrip("\r\n") for x in Parser(raw, sep).records() if x.reason is None]
+                found = [{"raw": raw[x.start : x.end].rstrip("\r\n"), **dict(zip(("fio", "phone", "snils"), typed(x.fields)))} for x in Parser(raw, sep).records() if x.reason is None]
             return [(line_id, path, line_no, None, None, None, r.reason, r.error_pos, r.error_text, found)]
 
         return f
@@ -197,6 +196,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return map_rows(joined.select("path", "line_id", "line_no", "raw_line", "_header"), make, SCHEMA)
 
 
+def typed(fields: list[str]) -> tuple[str | None, str | None, str | None]:
+    """(name, phone, insurance number) of a valid record's fields; null where missing."""
+    name, phone, snils = (None if (x := v.strip()) in MISSING else x for v in fields)
+    return name, phone and _phone(phone), snils and re.sub(r"[\s\-]", "", snils)
+
+
 def _phone(p: str) -> str:
     d = re.sub("[^0-9]", "", p)
     return "7" + d[1:]
@@ -210,3 +215,9 @@ def valid_rows(lines: DataFrame) -> DataFrame:
 def bad_rows(lines: DataFrame) -> DataFrame:
     """The rows set apart, with the first reason and the place of a syntax error."""
     return parse_lines(lines).filter("reason is not null").select("line_id", "path", "line_no", "reason", "error_pos", "error_text", "recovered")
+
+
+def recovered_rows(lines: DataFrame) -> DataFrame:
+    """(line_id, path, line_no, record_no, fio, phone, snils): the valid records at which parsing resumed inside a broken one."""
+    found = bad_rows(lines).select("line_id", "path", "line_no", F.posexplode("recovered").alias("record_no", "r"))
+    return found.select("line_id", "path", "line_no", "record_no", "r.fio", "r.phone", "r.snils")

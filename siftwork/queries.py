@@ -177,6 +177,12 @@ def p5_loaded(spark, d):
     return badrows.valid_rows(table(spark, d, "large_test_lines"))
 
 
+@query("p5_recovered")
+def p5_recovered(spark, d):
+    """Valid records found behind a broken quote, loaded with the line they stood in."""
+    return badrows.recovered_rows(table(spark, d, "large_test_lines"))
+
+
 @query("p5_rejected")
 def p5_rejected(spark, d):
     return badrows.bad_rows(table(spark, d, "large_test_lines"))
@@ -445,9 +451,9 @@ def significant_files(spark, d):
     return report.significant(table(spark, d, "scan_results")).select("result_id", "path")
 
 
-@query("filtered_files", "SELECT result_id, path FROM scan_results WHERE uz_level = 'УЗ-2' AND file_format = 'pdf' AND total_findings > 0 AND contains(lower(string_split(path, '/')[-1]), 'a')")
+@query("filtered_files", "SELECT result_id, path FROM scan_results WHERE uz_level = 'УЗ-1' AND file_format = 'pdf' AND total_findings > 0 AND contains(lower(string_split(path, '/')[-1]), '0')")
 def filtered_files(spark, d):
-    return report.filtered(table(spark, d, "scan_results"), "УЗ-2", "pdf", "with", "A").select("result_id", "path")
+    return report.filtered(table(spark, d, "scan_results"), "УЗ-1", "pdf", "with", "0").select("result_id", "path")
 
 
 # ---------------------------------------------------------------- sources

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import csv
+import io
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwork.functions.text import stripped
+from siftwork.util import map_rows
 
 # Parts of column names that may hold personal data, encodings tried, and texts that mean a missing value.
 KEYWORDS = "inn инн snils снилс phone телефон passport паспорт card карта account счет счёт zip postal индекс ogrn огрн kpp кпп".split()
@@ -96,3 +99,47 @@ def extract(spark: SparkSession, path: str, cap: int | None = None) -> tuple[Dat
     """Lines of a CSV or Parquet file; cap: at most so many rows (CAP is the customary number), all by default."""
     df, meta = (read_parquet if os.path.splitext(path)[1].lower() == ".parquet" else read_csv)(spark, path, cap)
     return lines(df, missing=path.lower().endswith(".csv")), meta
+
+
+def read_rows(path: str) -> Iterator[list[str]]:
+    """Rows of one CSV or Parquet file as texts, for use inside a task: one row, or one batch of rows, in memory at a time."""
+    if path.lower().endswith(".parquet"):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        f = pq.ParquetFile(path)
+        plain = lambda t: pa.types.is_integer(t) or pa.types.is_floating(t) or pa.types.is_timestamp(t) or pa.types.is_boolean(t)
+        names = [x.name for x in f.schema_arrow if not plain(x.type) or any(k in x.name.lower() for k in KEYWORDS)] or f.schema_arrow.names
+        for batch in f.iter_batches(CHUNK, columns=names):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                yield ["" if v is None else str(v) for v in row]
+        return
+    s = sniff(path)
+    with open(path, encoding=s["encoding"], errors="replace", newline="") as f:
+        rows = csv.reader(f, delimiter=s["sep"])
+        width = len(next(rows, []))
+        for row in rows:
+            if len(row) <= width:  # rows with too many fields are left out
+                yield ["" if v in MISSING else v for v in row]
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """(path, chunk_no, text, error) of many files (column path), each read in a task with its own encoding and separator, CHUNK rows a chunk."""
+
+    def read(path):
+        try:
+            part, n = io.StringIO(), 0
+            for row in read_rows(path):
+                line = " ".join(v.strip() for v in row if v.strip())
+                if line:
+                    part.write(line + "\n")
+                    n += 1
+                    if n % CHUNK == 0:
+                        yield path, n // CHUNK - 1, part.getvalue(), None
+                        part = io.StringIO()
+            if n % CHUNK or not n:
+                yield path, n // CHUNK, part.getvalue(), None
+        except Exception as e:  # a broken file is a row's error
+            yield path, -1, None, f"{type(e).__name__}: {e}"[:200]
+
+    return map_rows(paths.select("path"), lambda: read, "path string, chunk_no int, text string, error string")

@@ -47,7 +47,7 @@ def test_table(spark):
     got = {r.line_id: r for r in B.parse_lines(df).collect()}
     assert {k: r.reason for k, r in got.items()} == {2: None, 3: "columns", 4: "columns", 5: None, 6: None, 7: None, 8: "columns", 9: "quoting"}
     assert (got[2].phone, got[2].snils) == ("74951234567", "11223344595")
-    assert got[9].recovered == ["Иванов;;"]
+    assert [tuple(r) for r in got[9].recovered] == [("Иванов;;", "Иванов", None, None)]
     assert B.valid_rows(df).count() == 4 and B.bad_rows(df).count() == 4
     assert B.parse_lines(df.limit(0)).count() == 0
 
@@ -59,3 +59,11 @@ def test_hot_join_spreads(spark, monkeypatch):
     left = spark.range(500).selectExpr("id", "case when id % 3 = 0 then 'hot' else concat('k', id % 7) end as k")
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "k string, v int")
     assert sorted(util.hot_join(left, right, "k", salt="id").select("id", "v").collect()) == sorted(left.join(right, "k", "left").select("id", "v").collect())
+
+
+def test_recovered_records_are_loaded(spark):
+    rows = [(1, "a", 1, "ФИО,Телефон,СНИЛС"), (2, "a", 2, '"Сломан,1,2\nИванов Иван,84951234567,112-233-445 95\nПетров,,'), (3, "a", 3, "Целый,,"), (4, "a", 4, None)]
+    df = spark.createDataFrame(rows, "line_id long, path string, line_no long, raw_line string")
+    got = sorted(tuple(r) for r in B.recovered_rows(df).collect())
+    assert [g[:1] + g[4:] for g in got] == [(2, "Иванов Иван", "74951234567", "11223344595"), (2, "Петров", None, None)]
+    assert B.recovered_rows(df.limit(0)).count() == 0 and [r.line_id for r in B.valid_rows(df).collect()] == [3]

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.plans import report
+from siftwork.plans import report, run
 from siftwork.sources import documents, files, html, tabular
 from siftwork.streaming import detect as streaming
 
@@ -99,3 +99,27 @@ def test_stream(spark, tmp_path):
     timed.write.parquet(str(tmp_path / "timed"))
     s = streaming.windowed_counts(streaming.documents_stream(spark, str(tmp_path / "timed"), timed.schema), "at", detectors=["email"])
     assert streaming.run_once(s, "t_timed", str(tmp_path / "cp2")).first()["count"] == 1
+
+
+def test_whole_run(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    root = tmp_path / "root"
+    (root / "deep").mkdir(parents=True)
+    (root / "people.csv").write_bytes(("ФИО;Телефон;СНИЛС\n" + "Иванов Пётр Иванович;+7 (495) 123-45-67;112-233-445 95\n" * 3 + "лишнее;поле;тут;да\n").encode("cp1251"))
+    pq.write_table(pa.table({"mail": ["u1@example.org пишет нам", None], "n": [1, 2]}), root / "deep" / "t.parquet")
+    (root / "page.html").write_text("<title>Лист без данных</title><p>Ничего личного в этом тексте нет совсем</p>")
+    (root / "short.html").write_text("<p>мало</p>")
+    (root / "bad.docx").write_bytes(b"broken")
+    (root / "notes.xlsx").write_bytes(b"x")
+    (root / "none.csv").write_bytes(b"")
+    got = {os.path.basename(r.path): r for r in run.results_of(run.texts_of(files.list_files(spark, str(root)))).collect()}
+    assert set(got) == {"people.csv", "page.html", "bad.docx"}
+    assert got["people.csv"].pii_categories == {"full_name": 1, "phone": 1, "snils": 1, "health": 1} and got["people.csv"].uz_level == "УЗ-1"
+    assert got["page.html"].total_findings == 0 and got["page.html"].uz_level == "УЗ-4" and got["bad.docx"].error
+    every = {os.path.basename(r.path): r for r in run.results_of(run.texts_of(files.list_files(spark, str(root))), skip=False).collect()}
+    assert every["t.parquet"].pii_categories == {"email": 1} and every["short.html"].total_findings == 0
+    written, code = run.run(spark, str(root), str(tmp_path / "out"), ("json", "md"))
+    assert code == 3 and json.load(open(written["json"]))["total_files"] == len(got)
+    assert run.run(spark, str(root / "deep"), str(tmp_path / "out2"), ("md",), skip=False)[1] == 0
