@@ -128,18 +128,24 @@ _flags = chars.table(
 
 
 def triggered(texts: list[str]) -> np.ndarray:
-    """Which texts may have an input: an odd character, scripts side by side, or a look-alike letter between spaces' other side and another script."""
+    """Which texts may have an input: an odd character, scripts side by side, or a word of look-alikes beside the other script."""
     c, starts = chars.joined(texts)
     f = _flags[c]
     m = (f & _INPUT) > 0
     lat, cyr = (f & _L) > 0, (f & _C) > 0
     m[:-1] |= lat[:-1] & cyr[1:] | cyr[:-1] & lat[1:]
-    # a look-alike letter begins a word behind a space whose other side is of the other script, or a comma
-    if len(c) > 4:
-        look = (f[3:] & _LOOK) > 0
-        space = c[2:-1] == 32
-        before = lat[1:-2] & cyr[3:] | cyr[1:-2] & lat[3:] | ((c[1:-2] == 44) | (c[1:-2] == 59)) & cyr[:-3] & lat[3:]
-        m[3:] |= look & space & before
+    # a word of look-alikes throughout, behind a letter of the other script (or its comma) and before one, or before another such word
+    at = np.flatnonzero(c == 32)
+    at = at[(at > 1) & (at < len(c) - 1)]
+    if len(at) > 1:
+        i, j = at[:-1], at[1:]
+        for own, other in ((lat, cyr), (cyr, lat)):
+            look = own & ((f & _LOOK) > 0)
+            total = np.cumsum(look)
+            whole = (j - i > 1) & (total[j - 1] - total[i] == j - i - 1)
+            comma = ((c[i - 1] == 44) | (c[i - 1] == 59)) & other[i - 2] if own is lat else False
+            hit = whole & (other[i - 1] | comma) & (other[j + 1] | look[j + 1])
+            m[i[hit] + 1] = True
     return chars.texts_with(m, starts)
 
 
