@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -186,6 +187,8 @@ class Uniform:
         self.lowered = lowered
         self.cyr = looks(TO_CYRILLIC | (LOWERED if lowered else {}), lowered)
         self.lat = looks(TO_LATIN | ({b: a for a, b in LOWERED.items()} if lowered else {}), lowered)
+        #: Words are few and come again; the table of those seen is bounded.
+        self.known = lru_cache(100_000)(lambda w: (y := w if w.isascii() else self.word(w), self.state(y), y.islower()))
         self.to_cyr, self.to_lat, self.greek = str.maketrans(self.cyr), str.maketrans(self.lat), str.maketrans(conflict_free(GREEK_LATIN))
 
     def word(self, w: str) -> str:
@@ -258,11 +261,10 @@ class Uniform:
                 out.append(y)
                 gap += y
                 continue
-            y = x if x.isascii() else self.word(x)
+            y, now, low = self.known(x)
             if not self.lowered:
-                now = self.state(y)
                 plain = gap == " " or gap in (", ", "; ") and len(y) == 1 and now == "l" and not waiting
-                if now in ("l", "c") and last and plain and (y.islower() or len(y) == 1 and now == "l"):
+                if now in ("l", "c") and last and plain and (low or len(y) == 1 and now == "l"):
                     waiting.append((len(out), now, y))
                 else:
                     if waiting and gap == " " and now == last and y[:1].islower() and (small or all(w[1] == "l" and len(w[2]) == 1 for w in waiting)):
@@ -270,7 +272,7 @@ class Uniform:
                             if script.upper() != last:
                                 out[k] = w.translate(self.to_cyr if last == "C" else self.to_lat)
                     waiting = []
-                    last, small = (now if now in ("L", "C") else "", y.islower())
+                    last, small = (now if now in ("L", "C") else "", low)
                     if now in ("l", "c"):
                         last = ""
             out.append(y)
