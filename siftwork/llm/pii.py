@@ -38,11 +38,17 @@ _word = re.compile(rf"[\w{_hidden}̀-ͯ]")
 _spelled = re.compile(r"собака|точка|\(at\)|\[at\]|\bat\b|\(dot\)|\[dot\]", re.I)
 
 
+def margin(a: np.ndarray) -> float:
+    """A span of n tags changes n + 1 transitions at most, so where no tag comes nearer to O than this, O throughout is the best path."""
+    return 2 * max(0.0, float(a.max() - a[0, 0]))
+
+
 class Tagger:
     """Finds spans (start, end, kind) in many texts at once."""
 
     def __init__(self, path: str = MODEL):
         self.model = lstm.Model.load(path)
+        self.margin = margin(self.model.a)
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -69,8 +75,7 @@ class Tagger:
         for j, (i, a, n) in enumerate(part):
             x[:n, j] = ids[i][a : a + n]
         e = self.model.emissions(x)
-        # windows in which no tag comes near O all along have no spans
-        hot = np.flatnonzero((e[:, 1:].max(1) > e[:, 0] - 2).any(0))
+        hot = np.flatnonzero((e[:, 1:].max(1) > e[:, 0] - self.margin).any(0))
         if not len(hot):
             return
         tags = self.model.decode(e[:, :, hot])

@@ -524,6 +524,16 @@ def test_viterbi_against_brute_force():
         assert score(tuple(path)) >= max(score(q) for q in itertools.product(range(lstm.TAGS), repeat=4)) - 1e-3
 
 
+def test_windows_below_the_margin_have_no_spans():
+    m = lstm.Model(lstm.fresh(3, 1))
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        m.a = (r.normal(0, 1, m.a.shape) + lstm.forbidden()).astype(np.float32)
+        e = r.normal(0, 1, (6, lstm.TAGS, 50)).astype(np.float32)
+        e[:, 0] = e[:, 1:].max(1) + pii.margin(m.a) + 0.01
+        assert not m.decode(e).any()
+
+
 def test_training_learns():
     rows = [(f"почта user{k}@mail.ru и ещё слова номер {k} тут", [(6, 6 + len(f"user{k}@mail.ru"), 0)]) for k in range(200)]
     p = pii_train.train(pii_train.arrays(rows), hidden=8, steps=60, rate=0.03, note=lambda *a, **k: None)
